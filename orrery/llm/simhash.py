@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import cut, table
@@ -138,13 +138,13 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     keyed = nodes.select(
         "node",
         "fp",
-        F.explode(F.array(*[F.shiftrightunsigned(F.col("fp"), at).bitwiseAND((1 << w) - 1).cast("int") + F.lit(i << (BITS // (radius + 1) + 1)) for i, (at, w) in enumerate(_blocks(radius))])).alias("block"),
+        F.explode(F.array(*[F.shiftrightunsigned(F.col("fp"), at).bitwiseAND((1 << w) - 1).cast("long") + F.lit(i << (BITS // (radius + 1) + 1)) for i, (at, w) in enumerate(_blocks(radius))])).alias("block"),
         F.bit_count("fp").alias("pop"),
     )
     # Few blocks exist whatever the corpus: at most (radius + 1) * 2 ** 13 rows here for radius 4.
     crowded = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
     crowded = crowded.select("block", F.ceil(F.col("n") / (4.0 * GROUP)).cast("int").alias("parts"))
-    dealt = keyed.join(F.broadcast(crowded) if radius <= 4 else crowded, "block", "left")
+    dealt = keyed.join(F.broadcast(crowded) if radius >= 4 else crowded, "block", "left")
     plain = dealt.where("parts IS NULL").select(F.xxhash64("block").alias("cell"), "node", "fp", F.lit(3).alias("side"), "pop")
     # A crowded block becomes tile pairs: part (pop, s) against part (pop', s') for pop <= pop' <= pop + radius.
     split = dealt.where("parts IS NOT NULL").withColumn("s", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
@@ -175,9 +175,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     marks = cut(fingerprints(docs, text, doc_id, width))
     nodes = cut(marks.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
     # A repeated doc_id with two texts is one document: its fingerprints share a component.
-    shared = nodes.join(marks.where("doc_id IS NOT NULL").distinct(), "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    shared = shared.join(shared.groupBy("a").agg(F.countDistinct("b").alias("n")).where("n > 1").select("a"), "a", "left_semi")
-    parts = components(links(nodes, radius).union(shared.select("a", "b")))
+    twice = marks.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    shared = marks.join(twice, "doc_id", "left_semi").distinct().join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    parts = components(links(nodes, radius).union(shared))
     named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = marks.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -192,7 +192,8 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     found = near_duplicates(docs, **params)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return named.withColumn("__first", first).where("__first = 1").drop("__first").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
