@@ -50,3 +50,11 @@ def word_count(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
+
+    Meant for frames of ids already cut or cheap to count: the check is one job.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
