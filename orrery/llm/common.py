@@ -37,10 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spaced(text: Column) -> Column:
+    """A text (null: empty) with a space for each white-space character."""
+    flat = F.coalesce(text, F.lit(""))
+    for c in SPACE_CHARS[1:]:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    return flat
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array (null: empty)."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, " " * 6)
-    return F.filter(F.split(flat, " +"), lambda w: w != "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def word_count(text: Column) -> Column:

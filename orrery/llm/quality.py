@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import SPACE_CHARS, cut, small, table, word_count, words_of
+from orrery.llm.common import NOT_SPACE, cut, small, spaced, table, word_count, words_of
 
 #: The symbols counted, and the words of a repetition window.
-SYMBOLS, WINDOW = "#*$%&|<>", 8
+SYMBOLS, WINDOW = "[#*$%&|<>]", 8
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,14 @@ class Limits:
 
 def _repeat_words(docs: DataFrame) -> DataFrame:
     """From __words: n_repeat_words, the words in windows that a text has twice or more."""
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("__words") - WINDOW),
-        lambda i: F.xxhash64(*[F.get("__words", i + k) for k in range(WINDOW)]),
-    )
-    docs = docs.withColumn("__h", F.when(F.size("__words") >= WINDOW, window).otherwise(F.expr("array(0L)")))
+    # Hashes of 1, 2, 4 and 8 words: each pairs those of half the length.
+    docs = docs.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
+    half = 1
+    while half < WINDOW:
+        later = F.slice("__h", half + 1, F.greatest(F.size("__h") - half, F.lit(0)))
+        docs = docs.withColumn("__h", F.zip_with("__h", later, lambda x, y: F.xxhash64(x, y)))
+        half *= 2
+    docs = docs.withColumn("__h", F.slice("__h", 1, F.greatest(F.size("__words") - (WINDOW - 1), F.lit(0))))
     # Most texts repeat no window; only the others are sorted.
     docs = docs.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twice = F.filter("__s", lambda e, k: (F.get("__s", k - 1)["h"] == e["h"]) | (F.get("__s", k + 1)["h"] == e["h"]))
@@ -51,13 +54,13 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(whole, "\n", -1), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(NOT_SPACE))
     docs = docs.withColumns({"__text": whole, "__words": words_of(whole), "__lines": lines})
     docs = docs.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.translate("__text", SPACE_CHARS, "")).cast("long"),
-            "n_symbols": (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+            "n_symbols": F.regexp_count("__text", F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         }
     )
@@ -67,8 +70,7 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _normal(line: Column) -> Column:
     """Case, digits and spacing don't tell lines apart."""
-    flat = F.translate(F.lower(line), SPACE_CHARS + "123456789", " " * 6 + "0" * 9)
-    return F.trim(F.regexp_replace(flat, " {2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced(F.lower(line)), "[1-9]", "0"), " {2,}", " "))
 
 
 def _name(docs: DataFrame, text: str, host: str, doc_id: str) -> dict[str, Column]:
@@ -78,9 +80,11 @@ def _name(docs: DataFrame, text: str, host: str, doc_id: str) -> dict[str, Colum
 def depleted(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", limits: Limits = Limits()) -> DataFrame:
     """(__doc, __host, __hash) of the documents that their host's frequent lines make up, one row each."""
     rows = docs.select(*[c.alias(n) for n, c in _name(docs, text, host, doc_id).items()], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__n", word_count(F.col("__text")))
-    lines = rows.select("__doc", "__host", "__hash", "__n", F.explode(F.split("__text", "\n", -1)).alias("line"))
-    lines = lines.withColumn("words", word_count(F.col("line"))).where(F.col("words").between(1, limits.line_words))
+    counted = F.transform(F.split("__text", "\n", -1), lambda x: F.struct(x.alias("line"), word_count(x).alias("words")))
+    lines = rows.select("__doc", "__host", "__hash", counted.alias("__lines"))
+    lines = lines.withColumn("__n", F.aggregate("__lines", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
+    lines = lines.withColumn("__lines", F.filter("__lines", lambda x: x["words"].between(1, limits.line_words)))
+    lines = lines.select("__doc", "__host", "__hash", "__n", F.inline("__lines"))
     lines = lines.groupBy("__doc", "__host", "__hash", "__n", F.xxhash64(_normal(F.col("line"))).alias("line")).agg(F.sum("words").alias("words"))
     lines = cut(lines)
     texts = lines.groupBy("__host", "line", "__hash").agg(F.lit(1).alias("one")).groupBy("__host", "line").agg(F.count(F.lit(1)).alias("n"))
