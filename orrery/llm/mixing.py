@@ -27,6 +27,7 @@ def _marked(docs: DataFrame, ranges: int, text: str, source: str, doc_id: str) -
             "__source": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("t")),  # null sorts last
             "__key": key,
             "__range": F.shiftright(part, 32).cast("int"),
+            "__tie": F.xxhash64(F.col(text)),
         }
     )
 
@@ -88,7 +89,7 @@ def mix(
     before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum").join(goals, "__source")
     rows = rows.join(sums, ["__source", "__range"])
-    inside = Window.partitionBy("__source", "__range").orderBy("__key", F.col(doc_id), "__size", F.xxhash64(F.col(text))).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "__range").orderBy("__key", F.col(doc_id), "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS BIGINT) DIV source_size")).otherwise(F.lit(0))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, mixing, quality, simhash
+from orrery.llm import bpe, language, mixing, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3,
+    "op4_language": language.op4,
     "op5_bpe": bpe.op5,
+    "op6_secrets": secrets.op6,
     "op7_quality": quality.op7,
     "op8_mixing": mixing.op8,
+    "op9_warc": warc.op9,
     "op10_simhash": simhash.op10,
 }
 
