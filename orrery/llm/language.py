@@ -8,20 +8,27 @@ codewords that are almost as near make the text ambiguous.
 
 from __future__ import annotations
 
-import zlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import table
 
 UNKNOWN = "und"
-GRAMS, REMEMBERED = 1 << 15, 200_000
-_LETTER, _OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
+GRAMS = 1 << 15
+_kinds: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """Of each code point: 2 for a letter, 1 for a mark, else 0."""
+    if not _kinds:
+        points = map(chr, range(0x110000))
+        _kinds.append(np.fromiter((2 if c.isalpha() else unicodedata.category(c)[0] == "M" for c in points), np.uint8, 0x110000))
+    return _kinds[0]
 
 
 def codewords(n: int) -> np.ndarray:
@@ -36,14 +43,17 @@ def codewords(n: int) -> np.ndarray:
     return np.array(out).T
 
 
-def grams(word: str) -> list[int]:
-    """Places of a word's character 1- to 3-grams, its ends marked."""
-    w = f" {word} "
-    return [zlib.crc32(w[i : i + k].encode()) % GRAMS for k in (1, 2, 3) for i in range(len(w) - k + 1)]
-
-
-def words_of(text: str | None) -> list[str]:
-    return _OTHER.sub(" ", (text or "").lower()).split()
+def grams(text: str | None) -> np.ndarray:
+    """Places of a whole text's character 1- to 3-grams, in lower case, a space for all between words; none without letters."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
+    kind = kinds()[points]
+    if not (kind == 2).any():
+        return np.zeros(0, np.int64)
+    a = np.concatenate([[32], np.where(kind > 0, points, 32), [32]]).astype(np.uint32)
+    a = a[np.concatenate([[True], (a[1:] != 32) | (a[:-1] != 32)])]
+    x, y, z = (a * np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+    found = np.concatenate([a * np.uint32(0x27D4EB2F), x[:-1] + y[1:], x[:-2] + y[1:-1] + z[2:]])
+    return ((found ^ (found >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)).astype(np.int64)
 
 
 class LanguageModel:
@@ -52,35 +62,14 @@ class LanguageModel:
     def __init__(self, names: list[str], weights: np.ndarray, bias: np.ndarray, trust: np.ndarray):
         self.names, self.weights, self.bias, self.trust = names, weights, bias, trust
         self.codes = codewords(len(names))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.sums = np.zeros((1024, self.weights.shape[1] + 1))
-
-    def _place(self, word: str) -> int:
-        at = len(self.places)
-        if at == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        g = grams(word)
-        self.sums[at, :-1] = self.weights[g].sum(0)
-        self.sums[at, -1] = len(g)
-        self.places[word] = at
-        return at
-
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, confidence, lead over the next one); und, 0, 0 without letters."""
-        words = words_of(text)
-        if not words or not _LETTER.search(text):
+        found = grams(text)
+        if not len(found):
             return UNKNOWN, 0.0, 0.0
         if len(self.names) < 2:
             return self.names[0] if self.names else UNKNOWN, 1.0 if self.names else 0.0, 1.0
-        if len(self.places) > REMEMBERED:
-            self._clear()
-        known = self.places
-        places = [known[w] if w in known else self._place(w) for w in words]
-        total = self.sums[places].sum(0)
-        margin = total[:-1] / total[-1] + self.bias
+        margin = self.weights[found].sum(0, dtype=np.float64) / len(found) + self.bias
         losses = (np.logaddexp(0, -self.codes * margin) * self.trust).sum(1)
         near = np.exp(losses.min() - losses)
         near /= near.sum()
@@ -93,15 +82,10 @@ def fit(texts: list[str | None], langs: list[str], rounds: int = 60, rate: float
     names = sorted(set(langs))
     codes = codewords(len(names)) if len(names) > 1 else np.ones((len(names), 1))
     index, value, first, y = [], [], [], []
-    memo: dict[str, list[int]] = {}
     at = 0
     for t, lang in zip(texts, langs, strict=True):
-        found: list[int] = []
-        for w in words_of(t):
-            if (g := memo.get(w)) is None:
-                g = memo[w] = grams(w)
-            found += g
-        if found:
+        found = grams(t)
+        if len(found):
             places, n = np.unique(found, return_counts=True)
             index.append(places)
             value.append(n / len(found))
