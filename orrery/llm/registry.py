@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, language, mixing, quality, secrets, simhash, toxicity, warc
+from orrery.llm import ann, bpe, language, mixing, quality, secrets, simhash, substring, toxicity, warc
 
 QUERIES = {
+    "op1_substring": substring.op1,
+    "op2_ann": ann.op2,
     "op3_toxicity": toxicity.op3,
     "op4_language": language.op4,
     "op5_bpe": bpe.op5,
