@@ -111,8 +111,13 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
 
 
 def keep_good(docs: DataFrame, **params) -> DataFrame:
-    """The documents that ``judge`` keeps, with their own columns."""
-    return judge(docs, **params).where("kept").select(*docs.columns)
+    """The documents that ``judge`` keeps, with their own columns.
+
+    The row mark holds the filter where it stands: pushed down, it would copy
+    the nested window hashes into the condition and evaluate them many times.
+    """
+    rows = judge(docs, **params).withColumn("__stay", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("__stay") >= 0)).select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
