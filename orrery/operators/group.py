@@ -55,12 +55,13 @@ class Grouped:
     def map(self, values: Series, fn: Callable[[list], object], kind: T.DataType) -> Column:
         """fn of each group's present and missing values in row order, as a list (grouped Arrow UDF)."""
 
-        @F.pandas_udf(kind)
-        def call(v: pd.Series, o: pd.DataFrame) -> object:  # type: ignore[misc]
-            order = o.sort_values(list(o.columns), kind="stable").index
-            return fn([None if pd.isna(x) else x for x in v.loc[order]])
+        def call(v: pd.Series, *order: pd.Series) -> object:
+            rows = pd.concat(order, axis=1).reset_index(drop=True)
+            rows.columns = range(rows.shape[1])
+            at = rows.sort_values(list(rows.columns), kind="stable").index
+            return fn([None if pd.isna(x) else x for x in v.reset_index(drop=True).loc[at]])
 
-        return call(values.expr, F.struct(*self.frame.order_columns()))
+        return F.pandas_udf(call, kind, F.PandasUDFType.GROUPED_AGG)(values.expr, *self.frame.order_columns())
 
     try_map = map
 
