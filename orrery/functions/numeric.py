@@ -26,8 +26,8 @@ def quotient(a: Column, b: Column, kind: T.DataType) -> Column:
 
 def wrapped(e: Column, bits: int) -> Column:
     """An exact decimal result reduced to two's complement."""
-    half = F.lit(1 << (bits - 1)).cast("decimal(38,0)")
-    return (F.pmod(e.cast("decimal(38,0)") + half, F.lit(1 << bits).cast("decimal(38,0)")) - half).cast({8: "byte", 16: "short", 32: "int", 64: "long"}[bits])
+    half = F.lit(str(1 << (bits - 1))).cast("decimal(38,0)")
+    return (F.pmod(e.cast("decimal(38,0)") + half, F.lit(str(1 << bits)).cast("decimal(38,0)")) - half).cast({8: "byte", 16: "short", 32: "int", 64: "long"}[bits])
 
 
 def natural_log(c: Column) -> Column:

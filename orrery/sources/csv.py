@@ -110,7 +110,7 @@ def read(spark: SparkSession, path: str, options: Options | None = None) -> Fram
     sample = numbered(rows, []).where(F.col("__row") < o.infer_rows) if o.infer_rows else rows
     tests = []
     for i, c in enumerate(cells.values()):
-        tests += [F.count(c).alias(f"n{i}"), *[F.bool_and(t(c)).alias(f"{k}{i}") for k, t in (("b", _boolean), ("i", _integer), ("f", _floating))]]
+        tests += [F.count(c).alias(f"n{i}"), *[F.bool_and(F.when(c.isNotNull(), t(c))).alias(f"{k}{i}") for k, t in (("b", _boolean), ("i", _integer), ("f", _floating))]]
     seen = sample.agg(*tests).head()
     out = []
     for i, (n, c) in enumerate(cells.items()):
