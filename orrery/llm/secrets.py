@@ -79,20 +79,23 @@ def _places(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(LETTERS)))
 
 
-def train(samples: DataFrame) -> list[float]:
+def train(samples: DataFrame, lean: float = 5.0) -> list[float]:
     """Log-likelihood ratio of each step from one letter to the next, random against ordinary.
 
     Steps are counted in Spark; at most 2 * 63 * 63 counts reach the driver.
-    One is added to each count: without samples all ratios are 0.
+    A step leans on how common the letter it leads to is, as if that had been
+    seen ``lean`` times after each letter: without samples all ratios are 0.
     """
     pairs = samples.withColumn("p", _places(F.col("token"))).where(F.size("p") > 1)
     pairs = pairs.select("random", F.explode(F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: a * SIZE + b)).alias("step"))
     counts = {(r["random"], r["step"]): r["n"] for r in pairs.groupBy("random", "step").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = []
-    for a in range(SIZE):
-        total = {k: SIZE + sum(counts.get((k, a * SIZE + b), 0) for b in range(SIZE)) for k in (True, False)}
-        out += [math.log((counts.get((True, a * SIZE + b), 0) + 1) / total[True]) - math.log((counts.get((False, a * SIZE + b), 0) + 1) / total[False]) for b in range(SIZE)]
-    return out
+    chance = {}
+    for kind in (True, False):
+        n = [[counts.get((kind, a * SIZE + b), 0) for b in range(SIZE)] for a in range(SIZE)]
+        letter = [sum(n[a][b] for a in range(SIZE)) + 0.5 for b in range(SIZE)]
+        total = sum(letter)
+        chance[kind] = [math.log((n[a][b] + lean * letter[b] / total) / (sum(n[a]) + lean)) for a in range(SIZE) for b in range(SIZE)]
+    return [x - y for x, y in zip(chance[True], chance[False], strict=True)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:
