@@ -22,8 +22,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, of five-word shingles."""
-    return simhash.keep_one(docs, width=5)
+    """One document of each near-duplicate group: five-word shingles, a similarity of 0.8 and more."""
+    return simhash.keep_one(docs, width=5, alike=0.8)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,38 +24,68 @@ from orrery.llm.components import components
 BITS = 64
 #: Rows of a numpy tile, and the most that a group holds before it is split into cells.
 TILE, GROUP = 256, 4096
+#: Words of a wide fingerprint, and the bands that bring its rows together: so many, of so many bits each.
+WIDE, BANDS, BAND_BITS = 8, 32, 14
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Unsigned 64-bit SimHash over ``width``-word shingles (null or no words: 0)."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes (uint64) of a text's ``width``-word shingles, repeats included; fewer words make one, no words none."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)] if words else [], np.uint64)
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     begins = [0, *(spaces[: len(words) - width] + 1).tolist()]
     ends = [*spaces[width - 1 :].tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(begins, ends, strict=True)), np.uint64, len(begins))
-    ones = np.zeros(BITS, np.int64)
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(begins, ends, strict=True)), np.uint64, len(begins))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of uint64 words, the bits that over half the rows have, as words."""
+    ones = np.zeros(BITS * hashes.shape[1], np.int64)
     for at in range(0, len(hashes), 4096):
-        part = np.ascontiguousarray(hashes[at : at + 4096]).view(np.uint8).reshape(-1, 8)
+        part = np.ascontiguousarray(hashes[at : at + 4096]).view(np.uint8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Unsigned 64-bit SimHash over ``width``-word shingles (null or no words: 0)."""
+    return int(_majority(shingles(text, width)[:, None])[0])
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """SimHash of WIDE words over the set of shingles; each word mixes the shingle's hash anew (splitmix64)."""
+    x = np.unique(shingles(text, width))[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority(x ^ (x >> np.uint64(31))).tobytes()
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4) -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint as a signed long."""
+def radius_of(alike: float) -> int:
+    """Differing bits of a wide fingerprint at which sets have a Jaccard similarity of ``alike``.
+
+    Equal-sized sets of similarity J have the cosine 2J / (1 + J), and a bit
+    differs with the probability angle / pi. One estimate strays by about 0.035.
+    """
+    return round(WIDE * BITS * np.arccos(2 * alike / (1 + alike)) / np.pi)
+
+
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, wide: bool = False) -> DataFrame:
+    """(doc_id, fp) per row; fp is the fingerprint as a signed long, a wide one as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            if wide:
+                fps = pa.array([wide_fingerprint(t, width) for t in texts], pa.binary())
+            else:
+                fps = pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, f"doc_id long, fp {'binary' if wide else 'long'}")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -66,13 +96,13 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 
 
 def linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """Of a cell's fingerprints (uint64), the index of the root of each within the cell's links.
+    """Of a cell's fingerprints (rows of uint64 words), the index of the root of each within the cell's links.
 
     left and right are row indexes; every row of left is compared with every row
     of right, tile by tile, in order of population count.
     """
     root = np.arange(len(fp))
-    pop = np.bitwise_count(fp).astype(np.int64)
+    pop = np.bitwise_count(fp).sum(1, dtype=np.int64)
     left, right = (x[np.argsort(pop[x], kind="stable")] for x in (left, right))
 
     def find(i: int) -> int:
@@ -89,10 +119,13 @@ def linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
                 break
             if pop[a[0]] - pop[b[-1]] > radius:
                 continue
-            i, j = np.nonzero(np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius)
+            apart = np.zeros((len(a), len(b)), np.uint16)
+            for w in fp.T:
+                apart += np.bitwise_count(w[a][:, None] ^ w[b][None, :])
+            i, j = np.nonzero(apart <= radius)
             x, y = root[a[i]], root[b[j]]
-            if (apart := x != y).any():
-                for pair in np.unique(x[apart] * len(fp) + y[apart]).tolist():
+            if (differ := x != y).any():
+                for pair in np.unique(x[differ] * len(fp) + y[differ]).tolist():
                     u, v = find(pair // len(fp)), find(pair % len(fp))
                     root[max(u, v)] = min(u, v)
                 while (root[root] != root).any():
@@ -100,10 +133,17 @@ def linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
     return root
 
 
+def _words(fp: pa.ChunkedArray) -> np.ndarray:
+    """Longs or binaries as rows of uint64 words."""
+    if pa.types.is_integer(fp.type):
+        return np.ascontiguousarray(fp.to_numpy()).view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(fp), -1)
+
+
 def _links(radius: int):
     def cell(rows: pa.Table) -> pa.RecordBatch:
         node, side = rows.column("node").to_numpy(), rows.column("side").to_numpy()
-        fp = np.ascontiguousarray(rows.column("fp").to_numpy()).view(np.uint64)
+        fp = _words(rows.column("fp"))
         root = linked(fp, np.flatnonzero(side & 1), np.flatnonzero(side & 2), radius)
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["a", "b"])
@@ -163,6 +203,50 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return cells.mapInArrow(_links(radius), "a long, b long")
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fp) -> (block, node, fp) for each band: the band's number and its bits."""
+    rng = np.random.default_rng(11)
+    picks = np.array([rng.choice(WIDE * BITS, BAND_BITS, replace=False) for _ in range(BANDS)])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            bits = np.unpackbits(_words(pa.chunked_array([part.column(1)])).view(np.uint8), axis=1, bitorder="little")
+            for band, pick in enumerate(picks):
+                key = bits[:, pick].astype(np.int64) @ (1 << np.arange(BAND_BITS, dtype=np.int64)) + (band << BAND_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), part.column(1)], ["block", "node", "fp"])
+
+
+def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, fp) with distinct wide fp -> links (a, b) between nodes of a band that are within ``radius`` bits.
+
+    At a Jaccard similarity of 0.8 two fingerprints agree on a band with
+    probability 0.1, and on one of all bands with 0.97 (0.99 at 0.85).
+    A crowded band value is dealt into parts, each compared with each.
+    """
+    keyed = nodes.select("node", "fp").mapInArrow(_banded, "block long, node long, fp binary")
+    # At most BANDS * 2 ** BAND_BITS (half a million) band values exist, whatever the corpus.
+    crowded = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    crowded = crowded.select("block", F.ceil(F.col("n") / (0.5 * GROUP)).cast("int").alias("parts"))
+    dealt = keyed.join(F.broadcast(crowded), "block", "left")
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+    dealt = dealt.select("*", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("s2"))
+    side = F.when(F.col("s") == F.col("s2"), 3).when(F.col("s") < F.col("s2"), 1).otherwise(2)
+    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "node", "fp", side.alias("side"))
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "a long, b long")
+
+
+def _grouped(marks: DataFrame, link) -> DataFrame:
+    """(doc_id, fp) -> also component_id; ``link`` gives the links between (node, fp)."""
+    marks = cut(marks)
+    nodes = cut(marks.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    # A repeated doc_id with two texts is one document: its fingerprints share a component.
+    twice = marks.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    shared = marks.join(twice, "doc_id", "left_semi").distinct().join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    parts = components(link(nodes).union(shared))
+    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return marks.join(named, "fp", "left")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -172,24 +256,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     gives a row whose component is the group's least known doc_id (null if none
     is known). An empty table gives no rows; other columns are not read.
     """
-    marks = cut(fingerprints(docs, text, doc_id, width))
-    nodes = cut(marks.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    # A repeated doc_id with two texts is one document: its fingerprints share a component.
-    twice = marks.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
-    shared = marks.join(twice, "doc_id", "left_semi").distinct().join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    parts = components(links(nodes, radius).union(shared))
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = marks.join(named, "fp", "left")
+    out = _grouped(fingerprints(docs, text, doc_id, width), lambda nodes: links(nodes, radius))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, alike: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, component_id, by links of a Jaccard similarity of ``alike`` and more.
+
+    The similarity of two shingle sets is that which their wide fingerprints
+    tell (see radius_of). Odd rows are taken as near_duplicates takes them.
+    """
+    marks = fingerprints(docs, text, doc_id, width, wide=True)
+    return _grouped(marks, lambda nodes: wide_links(nodes, radius_of(alike))).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The documents of which doc_id is the least of its group, all columns kept.
+    """The documents of which doc_id is the least of its group of ``similar`` ones, all columns kept.
 
     Rows that share that doc_id are copies: the first in text order stays. Rows
     without doc_id can't be named and stay.
     """
-    found = near_duplicates(docs, **params)
+    found = similar(docs, **params)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

@@ -54,6 +54,7 @@ def test_odd_rows(docs):
         mixing.mix,
         lambda d: secrets.scan(d, model=[0.0] * secrets.SIZE**2),
         simhash.near_duplicates,
+        simhash.similar,
         lambda d: toxicity.score(d, model),
         lambda d: language.identify(d, lang),
     ):
@@ -112,6 +113,31 @@ def test_simhash_against_all_pairs(spark, sf_dir):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op10(spark, sf_dir).collect()} == want
 
 
+def test_wide_fingerprints_against_jaccard(spark, monkeypatch):
+    """Copies with a few words changed are found, of crowded bands too; others are left alone."""
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    rng = np.random.default_rng(8)
+    texts, group = [], []
+    for g in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for c in range(6):
+            words = list(base)
+            for at in rng.choice(300, 4 if c else 0, replace=False):
+                words[at] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(words))
+            group.append(6 * g)
+        # A third of its words changed: another document.
+        words = [w if rng.random() < 0.67 else f"y{rng.integers(10**9)}" for w in base]
+        texts.append(" ".join(words))
+        group.append(None)
+    ids, at = [], 0
+    for g in group:
+        ids.append(at if g is not None else 1000 + len(ids))
+        at += g is not None
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
+    assert got == {i: i if g is None else g for i, g in zip(ids, group, strict=True)}
+
+
 def test_crowded_blocks_are_split(spark, monkeypatch):
     """Cells of a crowded bit block find the same links as one group."""
     rng = np.random.default_rng(2)
@@ -204,7 +230,7 @@ def test_pipeline(spark, sf_dir):
     kept = p.good(spark, docs, sf_dir)
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.op7(spark, sf_dir).where("kept").collect()}
     one = p.single(spark, docs, sf_dir)
-    groups = Counter(r.component_id for r in simhash.near_duplicates(docs, width=5).collect())
+    groups = Counter(r.component_id for r in simhash.similar(docs).collect())
     assert sorted(r.doc_id for r in one.collect()) == sorted(groups)
     assert p.run(spark, sf_dir).count() > 0
     assert one.columns == p.clean(spark, docs, sf_dir).columns == p.mixed(spark, docs, sf_dir).columns == docs.columns
