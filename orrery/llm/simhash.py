@@ -158,7 +158,7 @@ def _links(radius: int):
             first = starts[0] if starts else len(keys)
             if first:
                 held.append(batch.slice(0, first))
-            for at, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+            for at, end in zip(starts, [*starts[1:], len(keys)] if starts else [], strict=True):
                 if held and sum(x.num_rows for x in held) > 1:
                     yield cell(pa.Table.from_batches(held))
                 held = [batch.slice(at, end - at)]
