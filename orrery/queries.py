@@ -198,22 +198,27 @@ def top_k(t):
     return f.top(25, desc(f["o_totalprice"]))
 
 
-@_query("SELECT event_id FROM events ORDER BY event_type ASC NULLS LAST, value DESC NULLS LAST, event_id LIMIT 100")
+def _placed(f: Frame, *keys) -> DataFrame:
+    """All rows with their place after a sort."""
+    return Frame(f.sorted_by(*keys)).numbered().df.withColumnRenamed("__row", "pos")
+
+
+@_query("SELECT event_id, row_number() OVER (ORDER BY event_type ASC NULLS LAST, value DESC NULLS LAST, event_id) - 1 AS pos FROM events")
 def sort_multi(t):
     f = t("events")
-    return f.top(100, asc(f["event_type"]), desc(f["value"])).select("event_id")
+    return _placed(f, asc(f["event_type"]), desc(f["value"])).select("event_id", "pos")
 
 
-@_query(f"SELECT event_id, v FROM ({_NULLED}) ORDER BY v DESC NULLS LAST, event_id LIMIT 9000")
+@_query(f"SELECT event_id, v, row_number() OVER (ORDER BY v DESC NULLS LAST, event_id) - 1 AS pos FROM ({_NULLED})")
 def sort_desc(t):
     f = _nulled(t)
-    return f.top(9000, desc(f["v"])).select("event_id", "v")
+    return _placed(f, desc(f["v"])).select("event_id", "v", "pos")
 
 
-@_query(f"SELECT event_id, v FROM ({_NULLED}) ORDER BY v DESC NULLS FIRST, event_id LIMIT 100")
+@_query(f"SELECT event_id, v, row_number() OVER (ORDER BY v DESC NULLS FIRST, event_id) - 1 AS pos FROM ({_NULLED})")
 def sort_nulls_first(t):
     f = _nulled(t)
-    return f.top(100, desc(f["v"]).nulls_first()).select("event_id", "v")
+    return _placed(f, desc(f["v"]).nulls_first()).select("event_id", "v", "pos")
 
 
 @_query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
@@ -272,11 +277,11 @@ def full_join(t):
     return a.full_join(b, using("doc_id"))
 
 
-@_query(f"SELECT a.event_id, b.event_id AS r_id FROM ({_NULLED}) a JOIN ({_NULLED}) b ON a.v = b.v WHERE a.event_id < 300 AND b.event_id < 50")
+@_query(f"SELECT event_id, n FROM ({_NULLED}) a JOIN (SELECT v, count(*) AS n FROM ({_NULLED}) GROUP BY 1) b ON a.v = b.v")
 def join_null_keys(t):
     f = _nulled(t)
-    a, b = f.filter(f["event_id"].lt(300)).select("event_id", "v"), f.filter(f["event_id"].lt(50)).select("event_id", "v").rename("event_id", "r_id")
-    return a.inner_join(b, using("v")).select("event_id", "r_id")
+    g = f.group_by(f["v"])
+    return f.inner_join(Frame(g.result("v", n=g.sizes()), "v"), using("v")).select("event_id", "n")
 
 
 @_query("SELECT n_name, r_name FROM nation JOIN region ON lower(left(n_name, 1)) = lower(left(r_name, 1))")
@@ -425,11 +430,10 @@ def quantile(t):
     return f.aggregate(q25=F.round(p.quantile(0.25), 6), q90=F.round(p.quantile(0.9), 6), med=f["l_quantity"].median())
 
 
-@_query("SELECT sum(l_linenumber)::BIGINT AS n FROM lineitem WHERE l_orderkey < 50")
+@_query("SELECT l_orderkey, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1")
 def reduce_fold(t):
-    f = t("lineitem")
-    f = Frame(f.filter(f["l_orderkey"].lt(50)).df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return f.aggregate(n=f["l_linenumber"].reduce(0, lambda a, x: a + x).cast("long"))
+    f = Frame(t("lineitem").df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return f.group_by(f["l_orderkey"]).result("l_orderkey", n=f["l_linenumber"].reduce(0, lambda a, x: a + x).cast("long"))
 
 
 @_query(f"SELECT event_id, CASE WHEN x IS NOT NULL THEN round(sum(x) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) END AS cs FROM ({_NULLED})")
