@@ -25,7 +25,9 @@ BITS = 64
 #: Rows of a numpy tile, and the most that a group holds before it is split into cells.
 TILE, GROUP = 256, 4096
 #: Words of a wide fingerprint, and the bands that bring its rows together: so many, of so many bits each.
-WIDE, BANDS, BAND_BITS = 8, 32, 14
+WIDE, BANDS, BAND_BITS = 8, 48, 14
+#: Standard deviations within which a wide fingerprint's estimate is held against the shingle sets themselves.
+STRAY = 3
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -63,13 +65,16 @@ def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
     return _majority(x ^ (x >> np.uint64(31))).tobytes()
 
 
-def radius_of(alike: float) -> int:
-    """Differing bits of a wide fingerprint at which sets have a Jaccard similarity of ``alike``.
+def radii_of(alike: float) -> tuple[int, int]:
+    """Differing bits of wide fingerprints: up to the first, sets surely have a Jaccard similarity of ``alike``; beyond the second, surely not.
 
     Equal-sized sets of similarity J have the cosine 2J / (1 + J), and a bit
-    differs with the probability angle / pi. One estimate strays by about 0.035.
+    differs with the probability angle / pi. The radii lie STRAY standard
+    deviations of the count to either side of its mean.
     """
-    return round(WIDE * BITS * np.arccos(2 * alike / (1 + alike)) / np.pi)
+    p = np.arccos(2 * alike / (1 + alike)) / np.pi
+    mean, stray = WIDE * BITS * p, STRAY * np.sqrt(WIDE * BITS * p * (1 - p))
+    return max(0, int(mean - stray)), int(mean + stray)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, wide: bool = False) -> DataFrame:
@@ -95,22 +100,14 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
-def linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """Of a cell's fingerprints (rows of uint64 words), the index of the root of each within the cell's links.
+def _within(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row indexes, from left and right, of fingerprints (rows of uint64 words) within the radius.
 
-    left and right are row indexes; every row of left is compared with every row
-    of right, tile by tile, in order of population count.
+    Every row of left is compared with every row of right, tile by tile, in
+    order of population count; tiles whose counts differ by more are skipped.
     """
-    root = np.arange(len(fp))
     pop = np.bitwise_count(fp).sum(1, dtype=np.int64)
     left, right = (x[np.argsort(pop[x], kind="stable")] for x in (left, right))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     for p in range(0, len(left), TILE):
         a = left[p : p + TILE]
         for q in range(0, len(right), TILE):
@@ -123,13 +120,27 @@ def linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
             for w in fp.T:
                 apart += np.bitwise_count(w[a][:, None] ^ w[b][None, :])
             i, j = np.nonzero(apart <= radius)
-            x, y = root[a[i]], root[b[j]]
-            if (differ := x != y).any():
-                for pair in np.unique(x[differ] * len(fp) + y[differ]).tolist():
-                    u, v = find(pair // len(fp)), find(pair % len(fp))
-                    root[max(u, v)] = min(u, v)
-                while (root[root] != root).any():
-                    root = root[root]
+            yield a[i], b[j]
+
+
+def linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Of a cell's fingerprints, the index of the root of each within the cell's links between left and right."""
+    root = np.arange(len(fp))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in _within(fp, left, right, radius):
+        x, y = root[i], root[j]
+        if (differ := x != y).any():
+            for pair in np.unique(x[differ] * len(fp) + y[differ]).tolist():
+                u, v = find(pair // len(fp)), find(pair % len(fp))
+                root[max(u, v)] = min(u, v)
+            while (root[root] != root).any():
+                root = root[root]
     return root
 
 
@@ -140,13 +151,8 @@ def _words(fp: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(fp), -1)
 
 
-def _links(radius: int):
-    def cell(rows: pa.Table) -> pa.RecordBatch:
-        node, side = rows.column("node").to_numpy(), rows.column("side").to_numpy()
-        fp = _words(rows.column("fp"))
-        root = linked(fp, np.flatnonzero(side & 1), np.flatnonzero(side & 2), radius)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["a", "b"])
+def _by_cell(cell):
+    """Runs ``cell`` (a table to batches) on the rows of each cell; a cell may span Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -160,14 +166,45 @@ def _links(radius: int):
                 held.append(batch.slice(0, first))
             for at, end in zip(starts, [*starts[1:], len(keys)] if starts else [], strict=True):
                 if held and sum(x.num_rows for x in held) > 1:
-                    yield cell(pa.Table.from_batches(held))
+                    yield from cell(pa.Table.from_batches(held))
                 held = [batch.slice(at, end - at)]
         if held and sum(x.num_rows for x in held) > 1:
-            yield cell(pa.Table.from_batches(held))
+            yield from cell(pa.Table.from_batches(held))
 
     return run
 
 
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    side = rows.column("side").to_numpy()
+    return _words(rows.column("fp")), np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+
+
+def _links(radius: int):
+    def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, root = rows.column("node").to_numpy(), linked(*_sides(rows), radius)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["a", "b"])
+
+    return _by_cell(cell)
+
+
+def _doubtful(radius: int):
+    """Pairs (a, b), a < b, within the radius whose parts differ."""
+
+    def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = rows.column("part").to_numpy()
+        if (part == part[0]).all():
+            return
+        node = rows.column("node").to_numpy()
+        for i, j in _within(*_sides(rows), radius):
+            apart = part[i] != part[j]
+            a, b = node[i[apart]], node[j[apart]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return _by_cell(cell)
+
+
 def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     """(node, fp) with distinct fp -> links (a, b) between nodes within ``radius`` bits.
 
@@ -204,35 +241,78 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp) -> (block, node, fp) for each band: the band's number and its bits."""
+    """(fp, more) -> (block, fp, more) for each band: the band's number and its bits."""
     rng = np.random.default_rng(11)
     picks = np.array([rng.choice(WIDE * BITS, BAND_BITS, replace=False) for _ in range(BANDS)])
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            bits = np.unpackbits(_words(pa.chunked_array([part.column(1)])).view(np.uint8), axis=1, bitorder="little")
+            bits = np.unpackbits(_words(pa.chunked_array([part.column(0)])).view(np.uint8), axis=1, bitorder="little")
             for band, pick in enumerate(picks):
                 key = bits[:, pick].astype(np.int64) @ (1 << np.arange(BAND_BITS, dtype=np.int64)) + (band << BAND_BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), part.column(1)], ["block", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], ["block", *part.schema.names])
 
 
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """(node, fp) with distinct wide fp -> links (a, b) between nodes of a band that are within ``radius`` bits.
+def _meet(nodes: DataFrame, more: str) -> DataFrame:
+    """(fp, more) with distinct wide fp -> rows of cells, those of one cell together: cell, fp, more, side.
 
-    At a Jaccard similarity of 0.8 two fingerprints agree on a band with
-    probability 0.1, and on one of all bands with 0.97 (0.99 at 0.85).
-    A crowded band value is dealt into parts, each compared with each.
+    A cell is a value of a band. At a Jaccard similarity of 0.8 two fingerprints
+    agree on a band with probability 0.1, and on one of all bands with 0.994.
+    A crowded value is dealt into parts, each of which meets each.
     """
-    keyed = nodes.select("node", "fp").mapInArrow(_banded, "block long, node long, fp binary")
-    # At most BANDS * 2 ** BAND_BITS (half a million) band values exist, whatever the corpus.
+    names = [x.split()[0] for x in more.split(", ")]
+    keyed = nodes.select("fp", *names).mapInArrow(_banded, f"block long, fp binary, {more}")
+    # At most BANDS * 2 ** BAND_BITS (0.8 million) band values exist, whatever the corpus.
     crowded = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
     crowded = crowded.select("block", F.ceil(F.col("n") / (0.5 * GROUP)).cast("int").alias("parts"))
     dealt = keyed.join(F.broadcast(crowded), "block", "left")
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
     dealt = dealt.select("*", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("s2"))
     side = F.when(F.col("s") == F.col("s2"), 3).when(F.col("s") < F.col("s2"), 1).otherwise(2)
-    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "node", "fp", side.alias("side"))
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "a long, b long")
+    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "fp", *names, side.alias("side"))
+    return cells.repartition("cell").sortWithinPartitions("cell")
+
+
+def _sets(width: int):
+    """(node, text) -> (node, the text's distinct shingle hashes in order, as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t, width)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "set"])
+
+    return run
+
+
+def _verified(alike: float):
+    """(a, b, their sets) -> the (a, b) of which the sets have a Jaccard similarity of ``alike`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            holds = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                holds.append(both >= alike * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(holds, pa.bool_()))
+
+    return run
+
+
+def _alike(nodes: DataFrame, texts: DataFrame, width: int, alike: float) -> DataFrame:
+    """(node, fp) with distinct wide fp, (node, text) -> links (a, b) of a Jaccard similarity of ``alike`` or more.
+
+    Fingerprints within the sure radius link as stars. Between the parts that
+    these form, each pair up to the doubtful radius is checked on its shingle sets.
+    """
+    sure, doubtful = radii_of(alike)
+    stars = cut(_meet(nodes, "node long").mapInArrow(_links(sure), "a long, b long").distinct())
+    parts = nodes.join(components(stars), "node", "left").select("fp", "node", F.coalesce("component", "node").alias("part"))
+    pairs = cut(_meet(parts, "node long, part long").mapInArrow(_doubtful(doubtful), "a long, b long").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(texts.join(wanted, "node", "left_semi").mapInArrow(_sets(width), "node long, set binary"))
+    held = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return stars.union(held.select("a", "b", "x", "y").mapInArrow(_verified(alike), "a long, b long"))
 
 
 def _grouped(marks: DataFrame, link) -> DataFrame:
@@ -263,11 +343,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, alike: float = 0.8) -> DataFrame:
     """One row per document: doc_id, component_id, by links of a Jaccard similarity of ``alike`` and more.
 
-    The similarity of two shingle sets is that which their wide fingerprints
-    tell (see radius_of). Odd rows are taken as near_duplicates takes them.
+    The sets are those of ``width``-word shingles. Wide fingerprints find the
+    pairs; unless they tell much more than ``alike``, the sets decide. Odd rows
+    are taken as near_duplicates takes them.
     """
     marks = fingerprints(docs, text, doc_id, width, wide=True)
-    return _grouped(marks, lambda nodes: wide_links(nodes, radius_of(alike))).select("doc_id", "component_id")
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
+    return _grouped(marks, lambda nodes: _alike(nodes, texts, width, alike)).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
