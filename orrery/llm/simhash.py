@@ -25,7 +25,7 @@ BITS = 64
 #: Rows of a numpy tile, and the most that a group holds before it is split into cells.
 TILE, GROUP = 256, 4096
 #: Words of a wide fingerprint, and the bands that bring its rows together: so many, of so many bits each.
-WIDE, BANDS, BAND_BITS = 8, 48, 14
+WIDE, BANDS, BAND_BITS = 8, 40, 14
 #: Standard deviations within which a wide fingerprint's estimate is held against the shingle sets themselves.
 STRAY = 3
 
@@ -100,8 +100,8 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
-def _within(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row indexes, from left and right, of fingerprints (rows of uint64 words) within the radius.
+def _within(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of row indexes, from left and right, of fingerprints (rows of uint64 words) within the radius, and their distances.
 
     Every row of left is compared with every row of right, tile by tile, in
     order of population count; tiles whose counts differ by more are skipped.
@@ -120,7 +120,7 @@ def _within(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
             for w in fp.T:
                 apart += np.bitwise_count(w[a][:, None] ^ w[b][None, :])
             i, j = np.nonzero(apart <= radius)
-            yield a[i], b[j]
+            yield a[i], b[j], apart[i, j]
 
 
 def linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def linked(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
             i = root[i]
         return i
 
-    for i, j in _within(fp, left, right, radius):
+    for i, j, _ in _within(fp, left, right, radius):
         x, y = root[i], root[j]
         if (differ := x != y).any():
             for pair in np.unique(x[differ] * len(fp) + y[differ]).tolist():
@@ -188,19 +188,46 @@ def _links(radius: int):
     return _by_cell(cell)
 
 
-def _doubtful(radius: int):
-    """Pairs (a, b), a < b, within the radius whose parts differ."""
+def _forest(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of links (i, j) among n rows, a spanning forest of least distances (Kruskal, a distance at a time)."""
+    root, chosen = np.arange(n), []
+    order = np.argsort(apart, kind="stable")
+    for level in np.split(order, np.flatnonzero(np.diff(apart[order])) + 1):
+        level = level[root[i[level]] != root[j[level]]]
+        if not len(level):
+            continue
+        _, first = np.unique(root[i[level]] * n + root[j[level]], return_index=True)
+        for k in level[first].tolist():
+            u, v = i[k], j[k]
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                chosen.append(k)
+        while (root[root] != root).any():
+            root = root[root]
+    return i[chosen], j[chosen], apart[chosen]
+
+
+def _nearest(radius: int):
+    """The forest of each cell's links within the radius, as a, b (a < b), apart: fewer rows than the cell has."""
 
     def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = rows.column("part").to_numpy()
-        if (part == part[0]).all():
+        node, found, many = rows.column("node").to_numpy(), [], 0
+        for part in _within(*_sides(rows), radius):
+            found.append(part)
+            many += len(part[0])
+            if many > 1 << 20:
+                found = [_forest(len(node), *map(np.concatenate, zip(*found, strict=True)))]
+                many = 0
+        if not found:
             return
-        node = rows.column("node").to_numpy()
-        for i, j in _within(*_sides(rows), radius):
-            apart = part[i] != part[j]
-            a, b = node[i[apart]], node[j[apart]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        i, j, apart = _forest(len(node), *map(np.concatenate, zip(*found, strict=True)))
+        if len(i):
+            a, b = node[i], node[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(apart.astype(np.int32))], ["a", "b", "apart"])
 
     return _by_cell(cell)
 
@@ -253,23 +280,22 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], ["block", *part.schema.names])
 
 
-def _meet(nodes: DataFrame, more: str) -> DataFrame:
-    """(fp, more) with distinct wide fp -> rows of cells, those of one cell together: cell, fp, more, side.
+def _meet(nodes: DataFrame) -> DataFrame:
+    """(node, fp) with distinct wide fp -> rows of cells, those of one cell together: cell, node, fp, side.
 
     A cell is a value of a band. At a Jaccard similarity of 0.8 two fingerprints
-    agree on a band with probability 0.1, and on one of all bands with 0.994.
+    agree on a band with probability 0.1, and on one of all bands with 0.985.
     A crowded value is dealt into parts, each of which meets each.
     """
-    names = [x.split()[0] for x in more.split(", ")]
-    keyed = nodes.select("fp", *names).mapInArrow(_banded, f"block long, fp binary, {more}")
-    # At most BANDS * 2 ** BAND_BITS (0.8 million) band values exist, whatever the corpus.
+    keyed = nodes.select("fp", "node").mapInArrow(_banded, "block long, fp binary, node long")
+    # At most BANDS * 2 ** BAND_BITS (0.7 million) band values exist, whatever the corpus.
     crowded = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
     crowded = crowded.select("block", F.ceil(F.col("n") / (0.5 * GROUP)).cast("int").alias("parts"))
     dealt = keyed.join(F.broadcast(crowded), "block", "left")
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
     dealt = dealt.select("*", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("s2"))
     side = F.when(F.col("s") == F.col("s2"), 3).when(F.col("s") < F.col("s2"), 1).otherwise(2)
-    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "fp", *names, side.alias("side"))
+    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "node", "fp", side.alias("side"))
     return cells.repartition("cell").sortWithinPartitions("cell")
 
 
@@ -302,17 +328,23 @@ def _verified(alike: float):
 def _alike(nodes: DataFrame, texts: DataFrame, width: int, alike: float) -> DataFrame:
     """(node, fp) with distinct wide fp, (node, text) -> links (a, b) of a Jaccard similarity of ``alike`` or more.
 
-    Fingerprints within the sure radius link as stars. Between the parts that
-    these form, each pair up to the doubtful radius is checked on its shingle sets.
+    Each cell gives the spanning forest of its nearest pairs, so a dense group
+    gives no more rows than it has members in each band. Pairs within the sure
+    radius link; of the others, those between different parts of the sure links
+    are checked on their shingle sets.
     """
     sure, doubtful = radii_of(alike)
-    stars = cut(_meet(nodes, "node long").mapInArrow(_links(sure), "a long, b long").distinct())
-    parts = nodes.join(components(stars), "node", "left").select("fp", "node", F.coalesce("component", "node").alias("part"))
-    pairs = cut(_meet(parts, "node long, part long").mapInArrow(_doubtful(doubtful), "a long, b long").distinct())
+    near = cut(_meet(nodes).mapInArrow(_nearest(doubtful), "a long, b long, apart int").distinct())
+    firm = near.where(F.col("apart") <= sure).select("a", "b")
+    parts = cut(components(firm))
+    pairs = near.where(F.col("apart") > sure).select("a", "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end, "left")
+    pairs = cut(pairs.where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(texts.join(wanted, "node", "left_semi").mapInArrow(_sets(width), "node long, set binary"))
     held = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return stars.union(held.select("a", "b", "x", "y").mapInArrow(_verified(alike), "a long, b long"))
+    return firm.union(held.select("a", "b", "x", "y").mapInArrow(_verified(alike), "a long, b long"))
 
 
 def _grouped(marks: DataFrame, link) -> DataFrame:
@@ -344,7 +376,9 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     """One row per document: doc_id, component_id, by links of a Jaccard similarity of ``alike`` and more.
 
     The sets are those of ``width``-word shingles. Wide fingerprints find the
-    pairs; unless they tell much more than ``alike``, the sets decide. Odd rows
+    pairs; unless they tell much more than ``alike``, the sets decide. Of 100
+    pairs that are just ``alike``, about two share no band and are not found
+    directly. Odd rows
     are taken as near_duplicates takes them.
     """
     marks = fingerprints(docs, text, doc_id, width, wide=True)

@@ -159,6 +159,40 @@ def test_crowded_blocks_are_split(spark, monkeypatch):
     assert {i: int(p) for i, p in enumerate(part) if got.get(i, i) != p} == {}
 
 
+def test_forest_joins_what_all_pairs_join():
+    """Fewer links than rows, of the same parts, and the same parts below each distance."""
+    rng = np.random.default_rng(3)
+    for n in (2, 30, 200):
+        i, j, apart = rng.integers(0, n, 2 * n), rng.integers(0, n, 2 * n), rng.integers(0, 9, 2 * n)
+        got = simhash._forest(n, i, j, apart)
+        assert len(got[0]) < n
+        for most in (0, 4, 8):
+            parts = []
+            for a, b, d in ((i, j, apart), got):
+                part = np.arange(n)
+                for _ in range(n):
+                    for u, v in zip(a[d <= most], b[d <= most], strict=True):
+                        part[u] = part[v] = min(part[u], part[v])
+                parts.append(part)
+            assert (parts[0] == parts[1]).all()
+
+
+def test_sets_decide_on_doubtful_pairs(spark):
+    """Similarities just above and just below 0.8 are told apart; a sliver of a unit decides."""
+    rng = np.random.default_rng(6)
+    texts, want = [], {}
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 204)]
+        # 200 shingles each, of which the last c are not shared: similarity (200 - c) / (200 + c).
+        c = 22 if k % 2 else 23
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-c], *(f"z{x}" for x in rng.integers(0, 10**9, c))]))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if k % 2 else 2 * k + 1}
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    # None below is joined; bands may miss a few in a hundred above.
+    assert all(got[i] == i for i in want if want[i] == i)
+    assert sum(got[i] == want[i] for i in want) >= len(want) - 3
+
+
 def test_cell_over_several_batches():
     """A batch that lies within one cell carries on the cell of the batch before."""
     part = lambda nodes: pa.RecordBatch.from_arrays([pa.array([1] * len(nodes)), pa.array(nodes), pa.array([5] * len(nodes)), pa.array([3] * len(nodes))], ["cell", "node", "fp", "side"])
