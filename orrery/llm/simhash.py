@@ -211,23 +211,37 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np
     return i[chosen], j[chosen], apart[chosen]
 
 
-def _nearest(radius: int):
-    """The forest of each cell's links within the radius, as a, b (a < b), apart: fewer rows than the cell has."""
+def _doubtful(sure: int, radius: int):
+    """Of each cell a star for each part that the sure radius links (firm), and all other pairs within the radius, of different parts.
+
+    A pair comes from the cell of the first band that its fingerprints share, not from the later ones.
+    """
+    masks = np.zeros((BANDS, WIDE * BITS), np.uint8)
+    for mask, pick in zip(masks, _picks(), strict=True):
+        mask[pick] = 1
+    masks = np.packbits(masks, axis=1, bitorder="little").view(np.uint64)
+
+    def out(a: np.ndarray, b: np.ndarray, firm: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), firm))], ["a", "b", "firm"])
 
     def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, found, many = rows.column("node").to_numpy(), [], 0
-        for part in _within(*_sides(rows), radius):
-            found.append(part)
-            many += len(part[0])
-            if many > 1 << 20:
-                found = [_forest(len(node), *map(np.concatenate, zip(*found, strict=True)))]
-                many = 0
-        if not found:
-            return
-        i, j, apart = _forest(len(node), *map(np.concatenate, zip(*found, strict=True)))
-        if len(i):
-            a, b = node[i], node[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(apart.astype(np.int32))], ["a", "b", "apart"])
+        node, (fp, left, right) = rows.column("node").to_numpy(), _sides(rows)
+        band, root = rows.column("band")[0].as_py(), linked(fp, left, right, sure)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        if len(moved):
+            yield out(node[moved], node[root[moved]], True)
+        for i, j, apart in _within(fp, left, right, radius):
+            open_ = (apart > sure) & (root[i] != root[j])
+            # Where both sides are the same rows, each pair comes twice.
+            open_ &= (node[i] < node[j]) | (rows.column("side")[0].as_py() != 3)
+            i, j = i[open_], j[open_]
+            for mask in masks[:band]:
+                if not len(i):
+                    break
+                new = (((fp[i] ^ fp[j]) & mask) != 0).any(1)
+                i, j = i[new], j[new]
+            if len(i):
+                yield out(node[i], node[j], False)
 
     return _by_cell(cell)
 
@@ -267,10 +281,15 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return cells.mapInArrow(_links(radius), "a long, b long")
 
 
+def _picks() -> np.ndarray:
+    """The bits of each band."""
+    rng = np.random.default_rng(11)
+    return np.array([rng.choice(WIDE * BITS, BAND_BITS, replace=False) for _ in range(BANDS)])
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, more) -> (block, fp, more) for each band: the band's number and its bits."""
-    rng = np.random.default_rng(11)
-    picks = np.array([rng.choice(WIDE * BITS, BAND_BITS, replace=False) for _ in range(BANDS)])
+    picks = _picks()
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
@@ -281,7 +300,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(nodes: DataFrame) -> DataFrame:
-    """(node, fp) with distinct wide fp -> rows of cells, those of one cell together: cell, node, fp, side.
+    """(node, fp) with distinct wide fp -> rows of cells, those of one cell together: cell, node, fp, side, band.
 
     A cell is a value of a band. At a Jaccard similarity of 0.8 two fingerprints
     agree on a band with probability 0.1, and on one of all bands with 0.985.
@@ -295,7 +314,7 @@ def _meet(nodes: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
     dealt = dealt.select("*", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("s2"))
     side = F.when(F.col("s") == F.col("s2"), 3).when(F.col("s") < F.col("s2"), 1).otherwise(2)
-    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "node", "fp", side.alias("side"))
+    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "node", "fp", side.alias("side"), F.shiftright("block", BAND_BITS).cast("int").alias("band"))
     return cells.repartition("cell").sortWithinPartitions("cell")
 
 
@@ -328,16 +347,14 @@ def _verified(alike: float):
 def _alike(nodes: DataFrame, texts: DataFrame, width: int, alike: float) -> DataFrame:
     """(node, fp) with distinct wide fp, (node, text) -> links (a, b) of a Jaccard similarity of ``alike`` or more.
 
-    Each cell gives the spanning forest of its nearest pairs, so a dense group
-    gives no more rows than it has members in each band. Pairs within the sure
-    radius link; of the others, those between different parts of the sure links
-    are checked on their shingle sets.
+    Pairs within the sure radius link; of the others, all that lie between
+    different parts of the sure links are checked on their shingle sets.
     """
     sure, doubtful = radii_of(alike)
-    near = cut(_meet(nodes).mapInArrow(_nearest(doubtful), "a long, b long, apart int").distinct())
-    firm = near.where(F.col("apart") <= sure).select("a", "b")
+    near = cut(_meet(nodes).mapInArrow(_doubtful(sure, doubtful), "a long, b long, firm boolean"))
+    firm = near.where("firm").select("a", "b").distinct()
     parts = cut(components(firm))
-    pairs = near.where(F.col("apart") > sure).select("a", "b")
+    pairs = near.where("NOT firm").select("a", "b")
     for end in ("a", "b"):
         pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end, "left")
     pairs = cut(pairs.where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b"))
