@@ -81,18 +81,19 @@ def depleted(docs: DataFrame, text: str = "text", host: str = "source", doc_id:
     """(__doc, __host, __hash) of the documents that their host's frequent lines make up, one row each."""
     rows = docs.select(*[c.alias(n) for n, c in _name(docs, text, host, doc_id).items()], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     counted = F.transform(F.split("__text", "\n", -1), lambda x: F.struct(x.alias("line"), word_count(x).alias("words")))
-    lines = rows.select("__doc", "__host", "__hash", counted.alias("__lines"))
+    # Rows may be alike: the mark tells their lines apart.
+    lines = rows.select("__doc", "__host", "__hash", F.monotonically_increasing_id().alias("__row"), counted.alias("__lines"))
     lines = lines.withColumn("__n", F.aggregate("__lines", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
     lines = lines.withColumn("__lines", F.filter("__lines", lambda x: x["words"].between(1, limits.line_words)))
-    lines = lines.select("__doc", "__host", "__hash", "__n", F.inline("__lines"))
-    lines = lines.groupBy("__doc", "__host", "__hash", "__n", F.xxhash64(_normal(F.col("line"))).alias("line")).agg(F.sum("words").alias("words"))
+    lines = lines.select("__doc", "__host", "__hash", "__row", "__n", F.inline("__lines"))
+    lines = lines.groupBy("__doc", "__host", "__hash", "__row", "__n", F.xxhash64(_normal(F.col("line"))).alias("line")).agg(F.sum("words").alias("words"))
     lines = cut(lines)
     texts = lines.groupBy("__host", "line", "__hash").agg(F.lit(1).alias("one")).groupBy("__host", "line").agg(F.count(F.lit(1)).alias("n"))
     hosts = rows.groupBy("__host", "__hash").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count(F.lit(1)).alias("texts"))
     often = texts.where(F.col("n") > limits.min_docs).join(hosts, "__host").where(F.col("n") > limits.share * F.col("texts")).select("__host", "line")
-    lost = lines.join(often, ["__host", "line"]).groupBy("__doc", "__host", "__hash", "__n").agg(F.sum("words").alias("lost"))
+    lost = lines.join(often, ["__host", "line"]).groupBy("__doc", "__host", "__hash", "__row", "__n").agg(F.sum("words").alias("lost"))
     left = F.col("__n") - F.col("lost")
-    return lost.where((left < limits.min_words) | (left < limits.min_share * F.col("__n"))).select("__doc", "__host", "__hash")
+    return lost.where((left < limits.min_words) | (left < limits.min_share * F.col("__n"))).select("__doc", "__host", "__hash").distinct()
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", limits: Limits = Limits()) -> DataFrame:
