@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder wherever the session's file systems have it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spaced(text: Column) -> Column:
     """A text (null: empty) with a space for each white-space character."""
     flat = F.coalesce(text, F.lit(""))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint_dir, cut, table
+from orrery.llm.common import checkpoint_dir, cut, delete, table
 
 END = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -197,11 +197,6 @@ def histories(found: DataFrame) -> DataFrame:
     return parts.mapInArrow(_merge, CAPTURE)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def archived(pages: DataFrame, **params) -> DataFrame:
     """Write ``pages`` to archives in the shared checkpoint folder, read them back, and give the ordered captures.
 
@@ -213,7 +208,7 @@ def archived(pages: DataFrame, **params) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, **params)
     found = cut(runs(spark, path))
-    _delete(spark, path)
+    delete(spark, path)
     return histories(found)
 
 
