@@ -43,6 +43,23 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores before it as no column of ``df`` is called."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def packed(df: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used``, and ``__own``: a struct of all columns, which no operator touches."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__own"), *[df[f"`{c}`"] for c in dict.fromkeys(used)])
+
+
+def unpacked(rows: DataFrame, df: DataFrame, **new) -> DataFrame:
+    """The columns of ``df`` out of ``__own``, those named in ``new`` put in place."""
+    return rows.select(*[(new[c] if c in new else F.col("__own")[c]).alias(c) for c in df.columns])
+
+
 def spaced(text: Column) -> Column:
     """A text (null: empty) with a space for each white-space character."""
     flat = F.coalesce(text, F.lit(""))

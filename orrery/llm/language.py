@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import free, table
 
 UNKNOWN = "und"
 GRAMS = 1 << 15
@@ -138,11 +138,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lead: fl
     """All columns, and lang_pred, score (0 to 1) and ambiguous (the lead over the next language is below ``lead``).
 
     Whole texts are read. A null text or one without letters is ``und`` with
-    score 0 and not ambiguous. An empty table gives no rows; columns of the
-    given names are replaced.
+    score 0 and not ambiguous. Rows that are repeated are each told alike; an
+    empty table gives no rows; columns of the given names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.names, model.weights.astype(np.float32), model.bias, model.trust))
-    rows = docs.drop("lang_pred", "score", "ambiguous").withColumn("__text", F.col(text).cast("string"))
+    rows = docs.drop("lang_pred", "score", "ambiguous").withColumn(free(docs, "__text"), F.col(text).cast("string"))
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import SPACE_CHARS, table, word_count
+from orrery.llm.common import SPACE_CHARS, packed, table, unpacked, word_count
 
 #: Documents that a key range holds about.
 RANGE_ROWS = 20_000
@@ -106,19 +106,23 @@ def _first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n.cast("int") + lead), "")
 
 
-def repeated(docs: DataFrame, text: str = "text", **params) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **params) -> DataFrame:
     """The mixed documents themselves: a row for each time a document is taken, the last one cut to the words taken.
 
-    The columns are those of ``docs``; where a text is cut, n_chars is counted anew.
+    Where a text is cut, n_chars is counted anew; other columns are returned as
+    they are, whatever their names. A null, empty or wordless text has no words
+    to take and no row; rows of equal doc_id are each taken for themselves; an
+    empty table gives no rows.
     """
-    rows = mix(docs, text, **params).where("taken > 0")
+    rows = mix(packed(docs, text, source, doc_id), text, source, doc_id, **params).where("taken > 0")
     rows = rows.withColumn("__copy", F.explode(F.expr("sequence(CAST(1 AS BIGINT), CAST(ceil(taken / size) AS BIGINT))")))
     words = F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size"))
     cut = words < F.col("size")
-    rows = rows.withColumn(text, F.when(cut, _first_words(F.col(text), words)).otherwise(F.col(text)))
+    rows = rows.withColumn("__part", F.when(cut, _first_words(F.col(text).cast("string"), words)).otherwise(F.col(text)))
+    new = {text: F.col("__part")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.length("__part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__own")["n_chars"])
+    return unpacked(rows, docs, **new)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import packed, table, unpacked
 
 #: Kinds in their order, with pattern, group whose length counts, and its least length.
 KINDS = (
@@ -111,8 +111,9 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
 
     Base spans are all kept; a token of 20 and more characters that overlaps
     none of them is added as markov if it holds a digit and a letter and its
-    ratio is above the threshold. A null or empty text has no spans; an empty
-    table gives no rows; a column called spans is replaced.
+    ratio is above the threshold. A null or empty text has no spans; rows that
+    are repeated are each scanned; an empty table gives no rows; a column
+    called spans is replaced.
     """
     model = model or train(labelled_tokens(docs, text, doc_id))
     rows = docs.drop("spans").withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
@@ -131,24 +132,30 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **params) -> DataFrame:
-    """The documents with a mark in place of each span (overlapping spans: one mark); n_chars is counted anew."""
-    rows = scan(docs.withColumn("__whole", F.col(text)), text, **params)
+def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: str = "[SECRET]", **params) -> DataFrame:
+    """The documents with a mark in place of each span (overlapping spans: one mark); n_chars is counted anew.
+
+    A null text stays null; equal rows are redacted alike; an empty table gives
+    no rows; other columns are returned as they are, whatever their names.
+    """
+    rows = scan(packed(docs, text, doc_id), text, doc_id, **params)
+    whole = F.col(text).cast("string")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        gap = F.substr(F.col("__whole"), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
+        gap = F.substr(whole, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
         return F.struct(
             F.greatest(a["at"], x["end"]).alias("at"),
             F.when(x["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"]).alias("out"),
         )
 
-    clean = F.aggregate("spans", begin, step, lambda a: F.concat(a["out"], F.substr(F.col("__whole"), a["at"] + 1)))
+    clean = F.aggregate("spans", begin, step, lambda a: F.concat(a["out"], F.substr(whole, a["at"] + 1)))
     hit = F.size("spans") > 0
-    rows = rows.withColumn(text, F.when(hit, clean).otherwise(F.col("__whole")))
+    rows = rows.withColumn("__clean", F.when(hit, clean).otherwise(F.col(text)))
+    new = {text: F.col("__clean")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__own")["n_chars"])
+    return unpacked(rows, docs, **new)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ BITS = 64
 #: Rows of a numpy tile, and the most that a group holds before it is split into cells.
 TILE, GROUP = 256, 4096
 #: Words of a wide fingerprint, and the bands that bring its rows together: so many, of so many bits each.
-WIDE, BANDS, BAND_BITS = 8, 40, 14
+WIDE, BANDS, BAND_BITS = 8, 64, 14
 #: Standard deviations within which a wide fingerprint's estimate is held against the shingle sets themselves.
 STRAY = 3
 
@@ -303,11 +303,11 @@ def _meet(nodes: DataFrame) -> DataFrame:
     """(node, fp) with distinct wide fp -> rows of cells, those of one cell together: cell, node, fp, side, band.
 
     A cell is a value of a band. At a Jaccard similarity of 0.8 two fingerprints
-    agree on a band with probability 0.1, and on one of all bands with 0.985.
+    agree on a band with probability 0.1, and on one of all bands with 0.999.
     A crowded value is dealt into parts, each of which meets each.
     """
     keyed = nodes.select("fp", "node").mapInArrow(_banded, "block long, fp binary, node long")
-    # At most BANDS * 2 ** BAND_BITS (0.7 million) band values exist, whatever the corpus.
+    # At most BANDS * 2 ** BAND_BITS (a million) band values exist, whatever the corpus.
     crowded = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
     crowded = crowded.select("block", F.ceil(F.col("n") / (0.5 * GROUP)).cast("int").alias("parts"))
     dealt = keyed.join(F.broadcast(crowded), "block", "left")
@@ -393,10 +393,9 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     """One row per document: doc_id, component_id, by links of a Jaccard similarity of ``alike`` and more.
 
     The sets are those of ``width``-word shingles. Wide fingerprints find the
-    pairs; unless they tell much more than ``alike``, the sets decide. Of 100
-    pairs that are just ``alike``, about two share no band and are not found
-    directly. Odd rows
-    are taken as near_duplicates takes them.
+    pairs; unless they tell much more than ``alike``, the sets decide. Of 1000
+    pairs that are just ``alike``, about one shares no band and is not found
+    directly. Odd rows are taken as near_duplicates takes them.
     """
     marks = fingerprints(docs, text, doc_id, width, wide=True)
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))

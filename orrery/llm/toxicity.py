@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import free, table
 
 #: A sentence ends with these, and at a line's end.
 _STOP, _EDGE = (".", "!", "?", "。", "！", "？"), re.compile(r"^\W+|\W+$")
@@ -129,11 +129,11 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold:
     """All columns, and score, predicted, and offending: (sentence, first word, words, score) of sentences from the threshold on.
 
     Whole texts are scored. A null, empty or wordless text has no sentences:
-    score 0 and nothing offending. An empty table gives no rows; columns of
-    the given names are replaced.
+    score 0 and nothing offending. Rows that are repeated are each scored alike;
+    an empty table gives no rows; columns of the given names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.bias))
-    rows = docs.drop("score", "predicted", "offending").withColumn("__text", F.col(text).cast("string"))
+    rows = docs.drop("score", "predicted", "offending").withColumn(free(docs, "__text"), F.col(text).cast("string"))
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     spot = pa.list_(pa.struct([("sentence", pa.int32()), ("word", pa.int32()), ("words", pa.int32()), ("score", pa.float64())]))
 

@@ -13,20 +13,26 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import re
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint_dir, cut, delete, table
+from orrery.llm.common import checkpoint_dir, cut, delete, small, table
 
 END = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of a file at most, which bounds a run and what a reader holds.
-FILE_RECORDS = 20_000
+#: Records of a file at most, by the bytes that a payload has at most: a file has about 1 GB before it is packed.
+FILE_RECORDS = ((1 << 16, 16_384), (1 << 21, 512), (1 << 26, 16), (1 << 31, 1))
+#: Captures of a merged range, about.
+RANGE_ROWS = 500_000
+#: The seconds over which capture times are spread: ten years.
+SPAN = 315_360_000
 CAPTURE = "url_key string, timestamp string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean, run string, at long"
 
 
@@ -37,23 +43,33 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", epoch: int = 1_700_000_000, least: int = 0) -> DataFrame:
+def _rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(id, url, body, digest, n)."""
+    rows = pages.select(F.col(page_id).cast("long").alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("body"))
+    return rows.withColumns({"digest": base32_sha1(F.col("body").cast("binary")), "n": F.octet_length("body").cast("long")})
+
+
+def shared_payloads(rows: DataFrame) -> DataFrame:
+    """(digest, last) of the payloads that several rows have: the largest page_id, null if none is known."""
+    return rows.groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "last")
+
+
+def records(rows: DataFrame, shared: DataFrame, epoch: int = 1_700_000_000, least: int = 0) -> DataFrame:
     """A column ``record`` with the whole text of each page's record, its file order left open.
 
     The table has no capture times: a page's is ``epoch`` plus its page_id in
-    seconds. Of equal payloads of at least ``least`` bytes the largest page_id
-    is the response, others revisit it. Rows that share it are all responses,
-    and so are payloads of which no page_id is known.
+    seconds, modulo SPAN. Of equal payloads of at least ``least`` bytes the
+    largest page_id is the response, others revisit it. Rows that share it are
+    all responses, and so are payloads of which no page_id is known. Payloads
+    are not shuffled where the shared digests may be broadcast.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("body"))
-    rows = rows.withColumns({"digest": base32_sha1(F.col("body").cast("binary")), "n": F.octet_length("body").cast("long")})
-    last = rows.groupBy("digest").agg(F.max("id").alias("last"))
-    rows = rows.join(last, "digest").withColumn("revisits", F.coalesce((F.col("last") != F.col("id")) | (F.col("id").isNull() & F.col("last").isNotNull()), F.lit(False)) & (F.col("n") >= least))
+    rows = rows.join(shared, "digest", "left")
+    rows = rows.withColumn("revisits", F.coalesce((F.col("last") != F.col("id")) | (F.col("id").isNull() & F.col("last").isNotNull()), F.lit(False)) & (F.col("n") >= least))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END + END))
     block = F.concat(http, F.when(F.col("revisits"), F.lit("")).otherwise(F.col("body")))
     target = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    when = F.date_format(F.timestamp_seconds(F.lit(epoch) + F.coalesce(F.col("id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.timestamp_seconds(F.lit(epoch) + F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     refers = F.when(F.col("revisits"), F.concat(F.lit(f"WARC-Profile: {REVISIT}{END}WARC-Refers-To: "), name(F.col("last")), F.lit(END))).otherwise(F.lit(""))
     return rows.select(
         F.concat(
@@ -77,9 +93,18 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     )
 
 
-def write(pages: DataFrame, path: str, **params) -> None:
-    """Write the archives of ``pages`` under ``path``."""
-    records(pages, **params).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write(pages: DataFrame, path: str, epoch: int = 1_700_000_000, least: int = 0, **names) -> None:
+    """Write the archives of ``pages`` under ``path``, larger payloads to files of fewer records."""
+    rows = _rows(pages, **names)
+    shared = small(cut(shared_payloads(rows)))
+    largest = pages.select(F.max(F.octet_length(F.col(names.get("html", "html")).cast("string"))).alias("n")).head()["n"] or 0
+    above = -1
+    for most, held in FILE_RECORDS:
+        some = rows.where((F.col("n") > above) & (F.col("n") <= most))
+        records(some, shared, epoch, least).write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", held).text(path)
+        above = most
+        if largest <= most:
+            break
 
 
 def url_key(url: str) -> str:
@@ -171,38 +196,46 @@ class LoserTree:
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept, sources = [], []
-    for batch in batches:
-        if batch.num_rows:
-            kept.append(batch)
+    """Rows of one range by run and place -> in order. The range stays columnar; each run is read, and the result given, some rows at a time."""
+    kept = [b for b in batches if b.num_rows]
     if not kept:
         return
     rows = pa.Table.from_batches(kept)
-    columns = [rows.column(i).to_pylist() for i in range(rows.num_columns)]
-    at, starts = 8, [0]
-    starts += [i for i in range(1, rows.num_rows) if columns[at][i] != columns[at][i - 1]]
-    for s, e in zip(starts, [*starts[1:], rows.num_rows], strict=True):
-        sources.append(zip(*(c[s:e] for c in columns), strict=True))
-    merged = list(zip(*LoserTree(sources, _order), strict=True))
-    for s in range(0, rows.num_rows, 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 10_000], t) for c, t in zip(merged, _TYPES, strict=True)], rows.schema.names)
+    name, starts, seen = rows.column("run"), [0], 0
+    for chunk in name.chunks:
+        codes = chunk.dictionary_encode().indices.to_numpy()
+        if seen and chunk[0].as_py() != name[seen - 1].as_py():
+            starts.append(seen)
+        starts += (np.flatnonzero(np.diff(codes)) + 1 + seen).tolist()
+        seen += len(chunk)
+
+    def read(start: int, end: int) -> Iterator[tuple]:
+        for at in range(start, end, 1024):
+            part = rows.slice(at, min(1024, end - at))
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+    merged = iter(LoserTree([read(s, e) for s, e in zip(starts, [*starts[1:], rows.num_rows], strict=True)], _order))
+    while some := list(itertools.islice(merged, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _TYPES, strict=True)], rows.schema.names)
 
 
 def histories(found: DataFrame) -> DataFrame:
     """Captures in global order of URL key, timestamp and page_id: partitions are ranges in turn, each merged from the runs.
 
-    A range is cut by all three, so the captures of one URL, however many, are dealt over tasks.
+    A range is cut by all three, so the captures of one URL, however many, are
+    dealt over tasks; there are as many ranges as keep each at some RANGE_ROWS.
     """
-    parts = found.repartitionByRange("url_key", "timestamp", "page_id").sortWithinPartitions("run", "at")
+    ranges = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // RANGE_ROWS))
+    parts = found.repartitionByRange(ranges, "url_key", "timestamp", "page_id").sortWithinPartitions("run", "at")
     return parts.mapInArrow(_merge, CAPTURE)
 
 
 def archived(pages: DataFrame, **params) -> DataFrame:
     """Write ``pages`` to archives in the shared checkpoint folder, read them back, and give the ordered captures.
 
-    One row per page. A null url or html is empty; a null page_id comes back as
-    null; an empty table gives no rows; other columns are not read. The
-    archives go once their captures are cut.
+    One row per page, rows that share a page_id included. A null url or html is
+    empty; a null page_id comes back as null; an empty table gives no rows;
+    other columns are not read. The archives go once their captures are cut.
     """
     spark = pages.sparkSession
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
