@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, mixing, quality, secrets, simhash
-from orrery.llm.common import checkpoint_dir, table
+from orrery.llm.common import checkpoint_dir, delete, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules keep, without their hosts' frequent lines; copies count once, as they are the next stage's task."""
+    return quality.keep_good(docs, limits=quality.Limits(copies_once=True))
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared checkpoint folder."""
+    """All stages over ``documents``; what lies between them is written to the shared checkpoint folder, and goes once the next stage is written.
+
+    The last one's input stays, as its result is lazy. Nulls, empty tables and
+    repeated rows are taken as the operators say.
+    """
     docs = table(spark, sf_dir, "documents")
     place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -57,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{place}/{k}")
             docs = spark.read.parquet(f"{place}/{k}")
+            if k:
+                delete(spark, f"{place}/{k - 1}")
     return docs
