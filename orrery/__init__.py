@@ -1,7 +1,9 @@
 """A typed, nullable, ordered table engine on Spark SQL.
 
-Everything stays lazy: an operation checks names and types against the schema
-when it is called and then only extends a DataFrame plan.
+An operation checks names and types against the schema when it is called and
+then extends a DataFrame plan. Row numbers, running aggregates over all rows,
+local values and CSV inference need a job of their own while the plan is built;
+what they cut goes to the shared checkpoint folder.
 """
 
 from orrery.errors import *  # noqa: F403

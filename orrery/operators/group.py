@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from orrery.errors import ColumnConflictError, InvalidNameError
 from orrery.functions.numeric import is_float
 from orrery.operators.series import Series
+from orrery.plans.ordinal import HIDDEN
 
 
 class Grouped:
@@ -19,7 +20,7 @@ class Grouped:
         self.frame, self.key, self.canon = frame, key, canon
 
     def _rows(self) -> tuple[DataFrame, list[str]]:
-        rows = self.frame.df.withColumn("__key", self.canon(self.key.expr) if self.canon else self.key.expr)
+        rows = self.frame.placed().withColumn("__key", self.canon(self.key.expr) if self.canon else self.key.expr)
         if is_float(self.key.dtype) and not self.canon:
             # Each NaN row gets a mark of its own; all others share null.
             rows = rows.withColumn("__nan", F.when(F.isnan("__key"), F.monotonically_increasing_id()))
@@ -63,9 +64,21 @@ class Grouped:
 
         return F.pandas_udf(call, kind, F.PandasUDFType.GROUPED_AGG)(values.expr, *self.frame.order_columns())
 
-    try_map = map
+    def try_map(self, values: Series, fn: Callable[[list], object], kind: T.DataType) -> Column:
+        """The same; a callback that raises ends the query, and the error names the group by the order of its first row."""
+
+        def call(v: pd.Series, *order: pd.Series) -> object:
+            rows = pd.concat(order, axis=1).reset_index(drop=True)
+            rows.columns = range(rows.shape[1])
+            rows = rows.sort_values(list(rows.columns), kind="stable")
+            try:
+                return fn([None if pd.isna(x) else x for x in v.reset_index(drop=True).loc[rows.index]])
+            except Exception as e:
+                raise RuntimeError(f"group of row {', '.join(map(str, rows.iloc[0]))}: {e}") from e
+
+        return F.pandas_udf(call, kind, F.PandasUDFType.GROUPED_AGG)(values.expr, *self.frame.order_columns())
 
     def groups(self, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
         """fn of each group's rows, distributed."""
         rows, by = self._rows()
-        return rows.groupBy(*by).applyInPandas(lambda p: fn(p.drop(columns=by)), schema)
+        return rows.groupBy(*by).applyInPandas(lambda p: fn(p.drop(columns=[c for c in p.columns if c in by or c.startswith(HIDDEN)])), schema)

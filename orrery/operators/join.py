@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from orrery.errors import ColumnConflictError, ColumnNotFoundError, ColumnTypeError, InvalidNameError, UnsupportedError
 from orrery.functions.numeric import is_float
 from orrery.operators.series import Series
+from orrery.plans.ordinal import HIDDEN
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
@@ -75,8 +76,8 @@ def join(left, right, key: JoinKey, kind: str):
         raise ColumnTypeError(f"keys of {a.dtype.simpleString()} and {b.dtype.simpleString()}")
     # Sides of one lineage would share attributes; new names keep each column apart.
     l_names, r_names = left.df.columns, right.df.columns
-    ldf = left.df.select(*[F.col(_q(n)).alias(f"l{i}") for i, n in enumerate(l_names)], *(() if isinstance(key.left, str) else (a.expr.alias("lk"),)))
-    rdf = right.df.select(*[F.col(_q(n)).alias(f"r{i}") for i, n in enumerate(r_names)], *(() if isinstance(key.right, str) else (b.expr.alias("rk"),)))
+    ldf = left.base.select(*[F.col(_q(n)).alias(f"l{i}") for i, n in enumerate(l_names)], *_places(left, "lo"), *(() if isinstance(key.left, str) else (a.expr.alias("lk"),)))
+    rdf = right.base.select(*[F.col(_q(n)).alias(f"r{i}") for i, n in enumerate(r_names)], *_places(right, "ro"), *(() if isinstance(key.right, str) else (b.expr.alias("rk"),)))
     lk = F.col(f"l{l_names.index(key.left)}" if isinstance(key.left, str) else "lk")
     rk = F.col(f"r{r_names.index(key.right)}" if isinstance(key.right, str) else "rk")
     if key.canon:
@@ -88,15 +89,21 @@ def join(left, right, key: JoinKey, kind: str):
     shared = key.out is not None
     if kind in ("semi", "anti"):
         out = ldf.join(rdf, same, KINDS[kind])
-        return Frame(out.select(*[F.col(f"l{i}").alias(n) for i, n in enumerate(l_names)]), left.order)
+        mine = [F.col(f"lo{i}").alias(n) for i, n in enumerate(left.order) if n.startswith(HIDDEN)]
+        return Frame(out.select(*[F.col(f"l{i}").alias(n) for i, n in enumerate(l_names)], *mine), left.order)
     merged = {"right": rk, "full": F.coalesce(lk, rk)}.get(kind, lk)
     columns = [merged.alias(key.out) if shared and n == key.left else F.col(f"l{i}").alias(n) for i, n in enumerate(l_names)]
     columns += [F.col(f"r{i}").alias(n) for i, n in enumerate(r_names) if not (shared and n == key.right)]
     names = [key.out if shared and n == key.left else n for n in l_names] + [n for n in r_names if not (shared and n == key.right)]
     if twice := next((n for n in names if names.count(n) > 1), None):
         raise ColumnConflictError(f"both sides have {twice!r}")
-    order = [n for n in (right.order + left.order if kind == "right" else left.order + right.order) if n in names]
-    return Frame(ldf.join(rdf, same, KINDS[kind]).select(*columns), order)
+    # The driving side's order first; of a full join, the right rows without partner come last.
+    mine, theirs = [F.col(f"lo{i}") for i in range(len(left.order))], [F.col(f"ro{i}") for i in range(len(right.order))]
+    places = theirs + mine if kind == "right" else mine + theirs
+    if kind == "full" and mine:
+        places.insert(0, mine[0].isNull())
+    places = [c.alias(f"{HIDDEN}{i}") for i, c in enumerate(places)]
+    return Frame(ldf.join(rdf, same, KINDS[kind]).select(*columns, *places), [f"{HIDDEN}{i}" for i in range(len(places))])
 
 
 def cross(left, right):
@@ -104,7 +111,14 @@ def cross(left, right):
 
     if both := set(left.df.columns) & set(right.df.columns):
         raise ColumnConflictError(f"both sides have {min(both)!r}")
-    return Frame(left.df.crossJoin(right.df), left.order + right.order)
+    ldf, rdf = (f.base.select(*map(_q, f.df.columns), *_places(f, s)) for f, s in ((left, "lo"), (right, "ro")))
+    places = [f"lo{i}" for i in range(len(left.order))] + [f"ro{i}" for i in range(len(right.order))]
+    hidden = [F.col(n).alias(f"{HIDDEN}{i}") for i, n in enumerate(places)]
+    return Frame(ldf.crossJoin(rdf).select(*map(_q, left.df.columns + right.df.columns), *hidden), [f"{HIDDEN}{i}" for i in range(len(places))])
+
+
+def _places(frame, side: str) -> list[Column]:
+    return [F.col(_q(n)).alias(f"{side}{i}") for i, n in enumerate(frame.order)]
 
 
 def _q(name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery import Frame, asc, desc, on, using, using_by, using_columns, using_columns_by
+from orrery import Frame, asc, desc, on, on_by, using, using_by, using_columns, using_columns_by
 
 KEYS = {"events": "event_id", "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "documents": "doc_id", "labels": "doc_id", "nation": "n_nationkey", "region": "r_regionkey"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,12 +98,12 @@ for _name, _op in (("eq", "="), ("ne", "<>"), ("le", "<="), ("gt", ">"), ("ge",
 
 for _name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
 
-    def _value(t, name=_name):
+    def _compared(t, name=_name):
         f = _nulled(t)
         return f.filter(getattr(f["v"], name)("purchase")).select("event_id", "v")
 
-    _value.__name__ = f"compare_value_{_name}"
-    _query(f"SELECT event_id, v FROM ({_NULLED}) WHERE v {_op} 'purchase'")(_value)
+    _compared.__name__ = f"compare_value_{_name}"
+    _query(f"SELECT event_id, v FROM ({_NULLED}) WHERE v {_op} 'purchase'")(_compared)
 
 
 @_query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20")
@@ -284,18 +284,25 @@ def join_null_keys(t):
     return f.inner_join(Frame(g.result("v", n=g.sizes()), "v"), using("v")).select("event_id", "n")
 
 
-@_query("SELECT n_name, r_name FROM nation JOIN region ON lower(left(n_name, 1)) = lower(left(r_name, 1))")
+@_query("SELECT c_custkey, r_name FROM customer JOIN region ON lower(left(c_mktsegment, 1)) = lower(left(r_name, 1))")
 def join_using_canon(t):
     first = lambda c: F.lower(F.substring(c, 1, 1))
-    a, b = t("nation"), t("region")
-    a, b = a.with_column("k", a["n_name"]), b.with_column("k", b["r_name"])
-    return a.inner_join(b, using_by("k", first)).select("n_name", "r_name")
+    a, b = t("customer"), t("region")
+    a, b = a.with_column("k", a["c_mktsegment"]), b.with_column("k", b["r_name"])
+    return a.inner_join(b, using_by("k", first)).select("c_custkey", "r_name")
 
 
-@_query("SELECT n_name AS name, r_regionkey FROM nation JOIN region ON upper(left(n_name, 1)) = upper(left(r_name, 1))")
+@_query("SELECT c_mktsegment AS name, c_custkey, r_regionkey FROM customer JOIN region ON upper(left(c_mktsegment, 1)) = upper(left(r_name, 1))")
 def join_using_columns_canon(t):
     first = lambda c: F.lower(F.substring(c, 1, 1))
-    return t("nation").inner_join(t("region"), using_columns_by("name", "n_name", "r_name", first)).select("name", "r_regionkey")
+    return t("customer").inner_join(t("region"), using_columns_by("name", "c_mktsegment", "r_name", first)).select("name", "c_custkey", "r_regionkey")
+
+
+@_query("SELECT c_custkey, r_regionkey FROM customer JOIN region ON lower(left(c_mktsegment, 1)) = lower(left(r_name, 1))")
+def join_on_canon(t):
+    first = lambda c: F.lower(F.substring(c, 1, 1))
+    a, b = t("customer"), t("region")
+    return a.inner_join(b, on_by(a["c_mktsegment"], b["r_name"], first)).select("c_custkey", "r_regionkey")
 
 
 @_query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -427,7 +434,14 @@ def variance(t):
 def quantile(t):
     f = t("lineitem")
     p = f["l_extendedprice"]
-    return f.aggregate(q25=F.round(p.quantile(0.25), 6), q90=F.round(p.quantile(0.9), 6), med=f["l_quantity"].median())
+    out = f.quantiles(q25=(p, 0.25), q90=(p, 0.9), med=(f["l_quantity"], 0.5))
+    return out.select(F.round("q25", 6).alias("q25"), F.round("q90", 6).alias("q90"), "med")
+
+
+@_query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25, median(l_quantity) AS med FROM lineitem GROUP BY 1")
+def group_quantile(t):
+    f = t("lineitem")
+    return f.group_by(f["l_returnflag"]).result("l_returnflag", q25=F.round(f["l_extendedprice"].quantile(0.25), 6), med=f["l_quantity"].median())
 
 
 @_query("SELECT l_orderkey, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1")
@@ -448,6 +462,125 @@ def scan_running_max(t):
     return f.with_column("mx", f["x"].scan(F.max, ["user_id"])).select("event_id", "mx")
 
 
+@_query(f"SELECT event_id, CASE WHEN v IS NOT NULL THEN sum(CASE WHEN v IS NOT NULL THEN user_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) END::BIGINT AS cs FROM ({_NULLED})")
+def cumsum_all(t):
+    f = _nulled(t)
+    users = f.series(F.when(F.col("v").isNotNull(), F.col("user_id")))
+    return f.with_column("cs", users.cum_sum()).select("event_id", "cs")
+
+
+@_query("SELECT event_id, max(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mx FROM events")
+def scan_all(t):
+    f = t("events")
+    return f.with_column("mx", f["value"].scan(F.max, merge=F.greatest)).select("event_id", "mx")
+
+
+@_query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
+def first_rows_unordered(t):
+    """A frame without an order: the rows as stored decide, here by event_id."""
+    f = Frame(t("events").df.coalesce(1).sortWithinPartitions("event_id"))
+    return f.select("user_id", "event_id").distinct_by(f["user_id"])
+
+
+@_query(f"SELECT user_id, arg_min(x, event_id) FILTER (WHERE x IS NOT NULL) AS f, arg_max(x, event_id) FILTER (WHERE x IS NOT NULL) AS z FROM ({_NULLED}) GROUP BY 1")
+def group_first_last_hidden(t):
+    """The order column is projected away before, and still orders the rows."""
+    f = _nulled(t).select("user_id", "x")
+    return f.group_by(f["user_id"]).result("user_id", f=f["x"].first_present(), z=f["x"].last_present())
+
+
+@_query("SELECT value FROM events ORDER BY event_id LIMIT 20")
+def head_hidden(t):
+    return t("events").select("value").head(20)
+
+
+@_query("SELECT * FROM (SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_orderkey LIMIT 10) UNION ALL SELECT * FROM (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey LIMIT 5)")
+def concat_order(t):
+    """The first 15 rows of ten rows and a whole table behind them."""
+    a = t("orders").select("o_orderkey", "o_totalprice").rename("o_orderkey", "k").rename("o_totalprice", "p").head(10)
+    return a.concat(t("customer").select("c_custkey", "c_acctbal").rename("c_custkey", "k").rename("c_acctbal", "p")).head(15)
+
+
+def _value(series) -> DataFrame:
+    """The values of a series with their places."""
+    return series.to_frame().numbered().df.withColumnRenamed("__row", "pos")
+
+
+_EVENTS = "(SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events)"
+
+
+@_query(f"SELECT pos, value FROM (VALUES (0, 7), (1, 2), (2, 7)) w(pos, i) JOIN {_EVENTS} USING (i)")
+def series_take(t):
+    return _value(t("events")["value"].take([7, 2, 7]))
+
+
+@_query(f"SELECT pos, value FROM (VALUES (0, 7), (1, NULL), (2, 0)) w(pos, i) LEFT JOIN {_EVENTS} USING (i)")
+def series_take_nullable(t):
+    return _value(t("events")["value"].take_nullable([7, None, 0]))
+
+
+@_query(f"SELECT i AS pos, value FROM {_EVENTS} WHERE i < 9")
+def series_head(t):
+    return _value(t("events")["value"].head(9))
+
+
+@_query(f"SELECT i - (SELECT count(*) - 9 FROM events) AS pos, value FROM {_EVENTS} WHERE i >= (SELECT count(*) - 9 FROM events)")
+def series_tail(t):
+    return _value(t("events")["value"].tail(9))
+
+
+@_query(f"SELECT i - 20 AS pos, value FROM {_EVENTS} WHERE i BETWEEN 20 AND 29")
+def series_slice(t):
+    return _value(t("events")["value"].slice(20, 30))
+
+
+@_query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value FROM events WHERE value > 50")
+def series_filter(t):
+    f = t("events")
+    return _value(f["value"].filter(f["value"].gt(50)))
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY x NULLS LAST, event_id) - 1 AS pos, x AS value FROM ({_NULLED})")
+def series_sorted(t):
+    return _value(_nulled(t)["x"].sorted())
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY x DESC NULLS LAST, event_id) - 1 AS pos, x AS value FROM ({_NULLED})")
+def series_sorted_descending(t):
+    return _value(_nulled(t)["x"].sorted_descending())
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY length(v) NULLS LAST, event_id) - 1 AS pos, v AS value FROM ({_NULLED})")
+def series_sorted_by(t):
+    return _value(_nulled(t)["v"].sorted_by(F.length))
+
+
+@_query("SELECT row_number() OVER (ORDER BY side, k) - 1 AS pos, name AS value FROM (SELECT 0 AS side, n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)")
+def series_concat(t):
+    return _value(t("nation")["n_name"].concat(t("region")["r_name"]))
+
+
+@_query("SELECT true AS same, false AS moved, true AS near")
+def series_equal(t):
+    f = t("customer")
+    a, b = f["c_acctbal"], f.series(F.col("c_acctbal") + 1e-9)
+    same, moved, near = a.equal(a), a.equal(b), a.equal_by(b, lambda x, y: F.abs(x - y) < 1e-6)
+    return f.base.sparkSession.createDataFrame([(same, moved, near)], "same boolean, moved boolean, near boolean")
+
+
+@_query("SELECT l_returnflag, sum(l_orderkey)::BIGINT AS n FROM lineitem WHERE l_orderkey < 200 GROUP BY 1")
+def reduce_long(t):
+    f = Frame(t("lineitem").df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    f = f.filter(f["l_orderkey"].lt(200))
+    return f.group_by(f["l_returnflag"]).result("l_returnflag", n=f["l_orderkey"].reduce(0, lambda a, x: a + x))
+
+
+@_query(f"SELECT i AS row FROM {_EVENTS} WHERE event_type = 'error'")
+def mask_rows(t):
+    f = t("events")
+    return f.mask_rows(f["event_type"].eq("error"))
+
+
 @_query("SELECT l_orderkey, l_linenumber, l_extendedprice + l_tax AS a, l_extendedprice - l_discount AS s, l_extendedprice * l_discount AS m, l_extendedprice / l_quantity AS unit FROM lineitem")
 def arith(t):
     f = t("lineitem")

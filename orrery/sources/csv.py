@@ -25,7 +25,8 @@ WORD = r"(?i)^([+-]?(inf|infinity)|nan)$"
 
 @dataclass
 class Options:
-    """infer_rows: how many rows decide the types (0: all)."""
+    """infer_rows: how many rows decide the types (0: all). fields_per_record: 0 wants as many fields as
+    the first record has, a positive number just so many, a negative one any number."""
 
     comma: str = ","
     comment: str = ""
@@ -83,6 +84,8 @@ def _raw(spark: SparkSession, path: str, o: Options) -> DataFrame:
     if not first:
         return spark.createDataFrame([], T.StructType([]))
     cells = ["" if v is None else v for v in first[0]]
+    if 0 < o.fields_per_record != len(cells):
+        raise RowCountError(f"a record has {len(cells)} fields, not {o.fields_per_record}")
     names = cells if o.header else [f"column{i}" for i in range(1, len(cells) + 1)]
     if "" in names:
         raise InvalidNameError("a column has no name")
@@ -167,12 +170,45 @@ def _digits(x: float) -> tuple[str, str, int]:
     return "-" * sign, bare, 0 if bare == "0" else exp + len(text) - len(bare)
 
 
+def _float_text(c: Column) -> Column:
+    """``format_float`` as an expression, null where Java's digits may not be the shortest: of up to 15 they are."""
+    java, zero = F.upper(F.abs(c).cast("string")), F.lit("")
+    digits = F.regexp_replace(F.replace(F.split_part(java, F.lit("E"), F.lit(1)), F.lit(".")), "^0+", "")
+    whole = F.split_part(F.split_part(java, F.lit("E"), F.lit(1)), F.lit("."), F.lit(1))
+    part = F.split_part(F.split_part(java, F.lit("E"), F.lit(1)), F.lit("."), F.lit(2))
+    power = F.coalesce(F.nullif(F.split_part(java, F.lit("E"), F.lit(2)), zero).cast("int"), F.lit(0))
+    # Where the point stands, counted from the first digit that isn't 0.
+    lead = F.length(F.regexp_extract(part, "^0*", 0))
+    point = F.when(whole.cast("long") != 0, F.length(whole)).otherwise(-lead) + power
+    digits = F.regexp_replace(digits, "0+$", "")
+    size = F.length(digits)
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+    )
+    e = point - 1
+    odd = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(size > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    # lpad cuts what is longer than two digits.
+    odd = F.when(F.abs(e) > 99, F.concat(F.regexp_replace(odd, "[0-9]{2}$", ""), F.abs(e).cast("string"))).otherwise(odd)
+    sign = F.when(F.startswith(c.cast("string"), F.lit("-")), "-").otherwise("")
+    return (
+        F.when(c.isNull(), F.lit(None).cast("string"))
+        .when(F.isnan(c), "NaN")
+        .when(F.abs(c) == float("inf"), F.when(c > 0, "+Inf").otherwise("-Inf"))
+        .when(c == 0, F.concat(sign, F.lit("0")))
+        .when((size <= 15) & (F.abs(c) > 1e-300), F.concat(sign, F.when((e >= -4) & (e < 21), plain).otherwise(odd)))
+    )
+
+
 def _text(f: T.StructField) -> Column:
     c = F.col(_q(f.name))
     if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
         raise UnsupportedError(f"{f.name!r} has no text form")
     if isinstance(f.dataType, R.FLOATS):
-        return F.udf(lambda x: None if x is None else format_float(x), T.StringType(), useArrow=True)(c.cast("double"))
+        plain = _float_text(c.cast("double"))
+        rest = F.udf(lambda x: None if x is None else format_float(x), T.StringType(), useArrow=True)
+        return F.coalesce(plain, rest(F.when(plain.isNull(), c.cast("double"))))
     return c.cast("string")
 
 

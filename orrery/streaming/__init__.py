@@ -7,13 +7,11 @@ a Frame over a streaming DataFrame; what needs an order or all rows does not.
 
 from __future__ import annotations
 
-from orrery.operators.frame import Frame
+from orrery.errors import UnsupportedError
 
 
-def require_static(frame: Frame) -> Frame:
+def require_static(frame):
     """Refuse a stream where an operation needs every row."""
     if frame.df.isStreaming:
-        from orrery.errors import UnsupportedError
-
         raise UnsupportedError("this operation needs all rows; the frame is a stream")
     return frame

@@ -13,6 +13,8 @@ from orrery.operators.frame import Frame
 from orrery.plans import mask as M
 from orrery.sources import csv, dbapi
 
+o_using = o.using
+
 NAN = float("nan")
 
 
@@ -185,6 +187,9 @@ def test_csv(spark, tmp_path):
     f = csv.read(spark, str(tmp_path / "a.csv"))
     assert [x.dataType.simpleString() for x in f.schema()] == ["boolean", "bigint", "double", "string"]
     assert values(f.df, *f.names()) == [(True, 1, 1.5, 'a,"b'), (False, None, 2.0, "b")]
+    with pytest.raises(E.RowCountError):
+        csv.read(spark, str(tmp_path / "a.csv"), csv.Options(fields_per_record=3))
+    assert csv.read(spark, str(tmp_path / "a.csv"), csv.Options(fields_per_record=4)).len() == 2
     for text, error in (("a,a\n1\n", E.ColumnConflictError), ("a,\n1,2\n", E.InvalidNameError), ("a,b\n1\n", E.RowCountError)):
         (tmp_path / "b.csv").write_text(text)
         with pytest.raises(error):
@@ -209,6 +214,100 @@ def test_database(spark, tmp_path):
         dbapi.write(f, connect, "insert into nothing values (?, ?, ?)")
 
 
+def test_rows_without_an_order(spark):
+    """Local rows are in the order given; other frames have the places of their rows; order columns that go stay hidden."""
+    f = Frame.new(spark, k=["b", None, "a", "b", None], v=[2, None, 4, 8, None])
+    assert f.names() == ["k", "v"] == f.df.columns
+    g = f.group_by(f["k"])
+    assert values(g.in_first_seen_order("k", n=g.sizes(), a=f["v"].first_present(), z=f["v"].last_present()), "k", "n", "a", "z") == [("b", 2, 2, 8), (None, 2, None, None), ("a", 1, 4, 4)]
+    assert values(f.distinct_by(f["k"]).head(3).df, "k", "v") == [("b", 2), (None, None), ("a", 4)]
+    assert values(f.distinct().df, "k").count(("b",)) == 2
+    assert sorted(values(g.result("k", m=g.map(f["v"], lambda v: len(v), T.LongType())), "m")) == [(1,), (2,), (2,)]
+    low = f.group_by_using(f["k"], F.upper)
+    assert set(values(low.result("k", n=low.sizes()), "k", "n")) == {("b", 2), (None, 2), ("a", 1)}
+    assert f.aggregate(r=f["v"].reduce(100, lambda a, x: a * 2 + x)).head()["r"] == ((100 * 2 + 2) * 2 + 4) * 2 + 8
+    both = f.select("v").head(2).concat(f.select("v"))
+    assert values(both.head(7).df, "v") == [(2,), (None,), (2,), (None,), (4,), (8,), (None,)]
+    assert values(f.tail(2).df, "v") == [(8,), (None,)]
+    stored = Frame(spark.range(100, numPartitions=4).select((F.col("id") % 3).alias("m"), "id"))
+    assert sorted(values(stored.distinct_by(stored["m"]).df, "m", "id")) == [(0, 0), (1, 1), (2, 2)]
+    o = Frame(spark.createDataFrame([(3, "x"), (1, "y"), (2, "z")], "i long, s string"), "i")
+    assert values(o.drop("i").head(2).df, "s") == [("y",), ("z",)]
+    assert values(o.with_column("i", o["i"].neg()).head(1).df, "s") == [("y",)]
+    assert o.with_column("i", o["i"].neg()).names() == ["i", "s"]
+    assert [r["s"] for r in o.rename("i", "j").rows()] == ["y", "z", "x"]
+    j = o.left_join(Frame.new(spark, s=["z", "y", "z"], w=[1, 2, 3]), o_using("s"))
+    assert values(j.head(4).df, "s", "w") == [("y", 2), ("z", 1), ("z", 3), ("x", None)]
+    full = o.full_join(Frame.new(spark, s=["q", "y"]), o_using("s"))
+    assert [r["s"] for r in full.rows()] == ["y", "z", "x", "q"]
+
+
+def test_series_of_their_own(spark):
+    s = o.Series.of(spark, [2.0, None, NAN, 1.0, 2.0])
+    assert s.nullable and s.len() == 5 and s.validity() == [True, False, True, True, True]
+    assert s.take([3, 3, 0]).values() == [1.0, 1.0, 2.0] and s.take_nullable([3, None, 1]).values() == [1.0, None, None]
+    assert s.head(2).values() == [2.0, None] and s.tail(2).values() == [1.0, 2.0] and s.slice(1, 2).values() == [None]
+    assert [repr(v) for v in s.sorted().values()] == ["nan", "1.0", "2.0", "2.0", "None"]
+    assert [repr(v) for v in s.sorted_descending().values()] == ["2.0", "2.0", "1.0", "nan", "None"]
+    assert o.Series.of(spark, ["ccc", None, "a", "bb", "d"]).sorted_by(F.length).values() == ["a", "d", "bb", "ccc", None]
+    assert s.at(0) == (2.0, True) and s.at(1) == (None, False) and s.value_or(1, 7.0) == 7.0 and not s.is_valid(1)
+    assert [i for i, _ in s.present()] == [0, 2, 3, 4] and s.optionals()[1] == (None, False)
+    assert s.filter(s.gt(1.5)).values() == [2.0, 2.0] and len(s.drop_null().values()) == 4
+    assert s.concat(s.head(1), s.tail(1)).values()[5:] == [2.0, 2.0]
+    a, b = o.Series.of(spark, [1, None, 3]), o.Series.from_optionals(spark, [(1, True), (9, False), (3, True)])
+    assert a.equal(b) and not a.equal(o.Series.of(spark, [1, None])) and not a.equal(o.Series.of(spark, [1, 2, 3])) and not s.equal(s)
+    assert a.equal_by(o.Series.of(spark, [-1, None, -3]), lambda x, y: x == -y)
+    assert o.Series.of(spark, [], T.LongType()).concat(a).values() == [1, None, 3]
+    assert [tuple(r) for r in Frame.from_series(spark, a=a, b=b.cum_sum()).rows()] == [(1, 1), (None, None), (3, 4)]
+    with pytest.raises(E.ContractError):
+        s.take([5])
+    with pytest.raises(E.ColumnTypeError):
+        a.concat(s)
+    f = Frame.new(spark, a=[1, 2, 3])
+    assert [r["a"] for r in f.filter_rows([True, False, True]).rows()] == [1, 3] and values(f.mask_rows(f["a"].gt(1)), "row") == [(1,), (2,)]
+    assert f.mask_at(f["a"].gt(1), 2) and f.get(1, "a", T.LongType()) == 2 and [n for n, _ in f.columns()] == ["a"]
+
+
+def test_running_and_quantiles_over_many_ranges(spark):
+    rng = random.Random(9)
+    cells = [None if rng.random() < 0.2 else rng.randrange(1000) for _ in range(3000)]
+    f = Frame(spark.createDataFrame(list(enumerate(cells)), "i long, v long").repartition(7), "i")
+    want, total = [], 0
+    for v in cells:
+        total += v or 0
+        want.append(None if v is None else total)
+    out = f.with_column("c", f["v"].cum_sum()).with_column("m", f["v"].scan(F.max, merge=F.greatest))
+    rows = out.df.orderBy("i").collect()
+    assert [r["c"] for r in rows] == want
+    assert [r["m"] for r in rows] == [None if v is None else max(x for x in cells[: k + 1] if x is not None) for k, v in enumerate(cells)]
+    present = sorted(v for v in cells if v is not None)
+    q = f.quantiles(a=(f["v"], 0.0), b=(f["v"], 0.37), c=(f["v"], 1.0)).head()
+    h = 0.37 * (len(present) - 1)
+    assert (q["a"], q["c"]) == (present[0], present[-1]) and q["b"] == pytest.approx(present[int(h)] + (h - int(h)) * (present[int(h) + 1] - present[int(h)]))
+    nan = Frame.new(spark, x=[1.0, NAN])
+    assert math.isnan(nan.quantiles(a=(nan["x"], 0.0)).head()["a"])
+    assert Frame.new(spark, x=[None, 1.0]).filter_rows([True, False]).quantiles(a=(Frame.new(spark, x=[1.0])["x"], 0.5)).head()["a"] is None
+
+
+def test_float_text(spark):
+    """The expression gives what format_float gives, or leaves the value to it."""
+    rng = random.Random(4)
+    xs = [0.0, -0.0, 1.0, -1.5, 1e21, 1e20, 123456789.0, 1e-7, 0.0001, 0.00001234, 1e100, -2.5e-300, 1.7976931348623157e308, 5e-324, NAN, math.inf, -math.inf, 100.0, 1e7, 12345678.9]
+    xs += [rng.uniform(-1, 1) * 10 ** rng.randrange(-30, 30) for _ in range(500)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", csv._float_text(F.col("x")).alias("t")).collect()
+    assert [(r["x"], r["t"]) for r in rows if r["t"] not in (None, csv.format_float(r["x"]))] == []
+    assert sum(r["t"] is not None for r in rows) >= 18
+    assert all(r["t"] is not None for r in spark.range(500).select(csv._float_text(F.col("id") * 0.25 - 30).alias("t")).collect())
+
+
+def test_errors_name_their_row(spark):
+    f = Frame.new(spark, v=[1, 0, None])
+    with pytest.raises(Exception, match="row 1: integer division"):
+        f.with_column("w", f["v"].try_map(lambda v: 1 // v, T.LongType())).df.collect()
+    ok = f.with_column("w", f["v"].try_map_cells(lambda v: -1 if v is None else v, T.LongType()))
+    assert values(ok.df, "w") == [(1,), (0,), (-1,)]
+
+
 def test_maps_skip_nulls(spark):
     f = Frame(spark.createDataFrame([(0, "a"), (1, None)], "i long, v string"), "i")
     out = f.df.select(f["v"].map(str.upper, T.StringType()).expr.alias("m"), f["v"].map_cells(lambda v: str(v), T.StringType()).expr.alias("c"))
