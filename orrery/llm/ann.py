@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import cut, table
 
-#: Projected dimensions and bits of each (48-bit keys), and rows of a window block.
-DIMS, BITS, BLOCK = 8, 6, 4096
+#: Projected dimensions and bits of each (48-bit keys).
+DIMS, BITS = 8, 6
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -139,15 +139,16 @@ def neighbours(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     orderings: int = 16,
-    window: float = 0.06,
+    window: float = 0.03,
     least: int = 64,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine, itself left out, ties to smaller ids.
 
     ``queries`` tells the query rows; all rows are candidates. A window reaches
-    ``window`` of all distinct vectors, ``least`` at the fewest, to either side:
-    vectors without clusters need a wide one for a recall of 0.9 (measured in
-    the tests); on clustered vectors a small one does. Equal vectors are
+    ``window`` of all distinct vectors, ``least`` at the fewest, to either side;
+    orderings are cut into blocks of that many rows, and a query meets its own
+    block and those that its window touches. Vectors without clusters need a
+    wide window for a recall of 0.9; on clustered vectors a small one does. Equal vectors are
     indexed and searched once, and up to k + 1 of their ids come back, which is
     all that k places can use. Vectors that are null, zero or hold null or
     non-finite components, and rows without id, take no part; vectors of
@@ -166,9 +167,9 @@ def neighbours(
     ranked = _ranked(_keyed(copies.select("rep", "v"), orderings))
     ranked = ranked.join(copies.select("rep", "v", "asks"), "rep")
     cell = lambda block: F.xxhash64("t", block)
-    block = F.floor(F.col("place") / BLOCK)
+    block = F.floor(F.col("place") / reach)
     have = ranked.select(cell(block).alias("cell"), F.lit(0).alias("side"), "rep", "v")
-    spread = F.sequence(F.floor(F.greatest(F.col("place") - reach, F.lit(0)) / BLOCK), F.floor((F.col("place") + reach) / BLOCK))
+    spread = F.sequence(F.greatest(block - 1, F.lit(0)), block + 1)
     ask = ranked.where("asks").withColumn("block", F.explode(spread)).select(cell(F.col("block")).alias("cell"), F.lit(1).alias("side"), "rep", "v")
     cells = have.union(ask).repartition("cell").sortWithinPartitions("cell", "side")
     found = cells.mapInArrow(_search(k + 1), "query long, rep long, score double")
