@@ -188,29 +188,6 @@ def _links(radius: int):
     return _by_cell(cell)
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of links (i, j) among n rows, a spanning forest of least distances (Kruskal, a distance at a time)."""
-    root, chosen = np.arange(n), []
-    order = np.argsort(apart, kind="stable")
-    for level in np.split(order, np.flatnonzero(np.diff(apart[order])) + 1):
-        level = level[root[i[level]] != root[j[level]]]
-        if not len(level):
-            continue
-        _, first = np.unique(root[i[level]] * n + root[j[level]], return_index=True)
-        for k in level[first].tolist():
-            u, v = i[k], j[k]
-            while root[u] != u:
-                u = root[u]
-            while root[v] != v:
-                v = root[v]
-            if u != v:
-                root[max(u, v)] = min(u, v)
-                chosen.append(k)
-        while (root[root] != root).any():
-            root = root[root]
-    return i[chosen], j[chosen], apart[chosen]
-
-
 def _doubtful(sure: int, radius: int):
     """Of each cell a star for each part that the sure radius links (firm), and all other pairs within the radius, of different parts.
 
