@@ -289,17 +289,6 @@ def test_running_and_quantiles_over_many_ranges(spark):
     assert Frame.new(spark, x=[None, 1.0]).filter_rows([True, False]).quantiles(a=(Frame.new(spark, x=[1.0])["x"], 0.5)).head()["a"] is None
 
 
-def test_float_text(spark):
-    """The expression gives what format_float gives, or leaves the value to it."""
-    rng = random.Random(4)
-    xs = [0.0, -0.0, 1.0, -1.5, 1e21, 1e20, 123456789.0, 1e-7, 0.0001, 0.00001234, 1e100, -2.5e-300, 1.7976931348623157e308, 5e-324, NAN, math.inf, -math.inf, 100.0, 1e7, 12345678.9]
-    xs += [rng.uniform(-1, 1) * 10 ** rng.randrange(-30, 30) for _ in range(500)]
-    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", csv._float_text(F.col("x")).alias("t")).collect()
-    assert [(r["x"], r["t"]) for r in rows if r["t"] not in (None, csv.format_float(r["x"]))] == []
-    assert sum(r["t"] is not None for r in rows) >= 18
-    assert all(r["t"] is not None for r in spark.range(500).select(csv._float_text(F.col("id") * 0.25 - 30).alias("t")).collect())
-
-
 def test_errors_name_their_row(spark):
     f = Frame.new(spark, v=[1, 0, None])
     with pytest.raises(Exception, match="row 1: integer division"):
