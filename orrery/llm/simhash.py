@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, table
+from orrery.llm.common import cut, small, table
 from orrery.llm.components import components
 
 BITS = 64
@@ -26,6 +26,8 @@ BITS = 64
 TILE, GROUP = 256, 4096
 #: Words of a wide fingerprint, and the bands that bring its rows together: so many, of so many bits each.
 WIDE, BANDS, BAND_BITS = 8, 64, 14
+#: Doubtful pairs of a cell that are held before they are cut down to a spanning forest.
+FOREST = 1 << 18
 #: Standard deviations within which a wide fingerprint's estimate is held against the shingle sets themselves.
 STRAY = 3
 
@@ -188,41 +190,94 @@ def _links(radius: int):
     return _by_cell(cell)
 
 
-def _doubtful(sure: int, radius: int):
-    """Of each cell a star for each part that the sure radius links (firm), and all other pairs within the radius, of different parts.
+def _forest(root: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of links (i, j), those of a spanning forest of least distances between the parts that ``root`` tells (Kruskal, a distance at a time)."""
+    root, chosen = root.copy(), []
+    order = np.argsort(apart, kind="stable")
+    for level in np.split(order, np.flatnonzero(np.diff(apart[order])) + 1):
+        level = level[root[i[level]] != root[j[level]]]
+        if not len(level):
+            continue
+        _, first = np.unique(root[i[level]] * len(root) + root[j[level]], return_index=True)
+        for k in level[first].tolist():
+            u, v = i[k], j[k]
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                chosen.append(k)
+        while (root[root] != root).any():
+            root = root[root]
+    return np.array(chosen, np.int64)
+
+
+def _doubtful(sure: int, radius: int, parts: bool = False):
+    """Of each cell a star for each part that the sure radius links (firm), and a spanning forest of the other pairs within the radius.
 
-    A pair comes from the cell of the first band that its fingerprints share, not from the later ones.
+    With ``parts``, rows tell the part that they are known to belong to, and
+    all pairs within the radius of different parts come instead. A pair counts
+    in the cell of the first band that its fingerprints share, not in the later
+    ones.
     """
     masks = np.zeros((BANDS, WIDE * BITS), np.uint8)
     for mask, pick in zip(masks, _picks(), strict=True):
         mask[pick] = 1
     masks = np.packbits(masks, axis=1, bitorder="little").view(np.uint64)
 
-    def out(a: np.ndarray, b: np.ndarray, firm: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), firm))], ["a", "b", "firm"])
+    def out(a: np.ndarray, b: np.ndarray, firm: bool, cell: int) -> pa.RecordBatch:
+        columns = [np.minimum(a, b), np.maximum(a, b), np.full(len(a), firm), np.full(len(a), cell)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "firm", "cell"])
 
-    def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def first_met(rows: pa.Table, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         node, (fp, left, right) = rows.column("node").to_numpy(), _sides(rows)
-        band, root = rows.column("band")[0].as_py(), linked(fp, left, right, sure)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        if len(moved):
-            yield out(node[moved], node[root[moved]], True)
+        band, same = rows.column("band")[0].as_py(), rows.column("side")[0].as_py() == 3
         for i, j, apart in _within(fp, left, right, radius):
-            open_ = (apart > sure) & (root[i] != root[j])
-            # Where both sides are the same rows, each pair comes twice.
-            open_ &= (node[i] < node[j]) | (rows.column("side")[0].as_py() != 3)
-            i, j = i[open_], j[open_]
+            open_ = root[i] != root[j]
+            if same:  # each pair comes twice
+                open_ &= node[i] < node[j]
+            i, j, apart = i[open_], j[open_], apart[open_]
             for mask in masks[:band]:
                 if not len(i):
                     break
                 new = (((fp[i] ^ fp[j]) & mask) != 0).any(1)
-                i, j = i[new], j[new]
+                i, j, apart = i[new], j[new], apart[new]
             if len(i):
-                yield out(node[i], node[j], False)
+                yield i, j, apart
+
+    def cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, key = rows.column("node").to_numpy(), rows.column("cell")[0].as_py()
+        if parts:
+            _, root = np.unique(rows.column("part").to_numpy(), return_inverse=True)
+            for i, j, _ in first_met(rows, root):
+                yield out(node[i], node[j], False, key)
+            return
+        root = linked(*_sides(rows), sure)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        if len(moved):
+            yield out(node[moved], node[root[moved]], True, key)
+        held, size = [], 0
+        for found in first_met(rows, root):
+            held.append(found)
+            size += len(found[0])
+            if size > FOREST:
+                # A forest of a forest and further links is one of all of them.
+                held = [_pruned(root, held)]
+                size = 0
+        if held:
+            i, j, _ = _pruned(root, held)
+            yield out(node[i], node[j], False, key)
 
     return _by_cell(cell)
 
 
+def _pruned(root: np.ndarray, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+    chosen = _forest(root, i, j, apart)
+    return i[chosen], j[chosen], apart[chosen]
+
+
 def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     """(node, fp) with distinct fp -> links (a, b) between nodes within ``radius`` bits.
 
@@ -276,14 +331,16 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], ["block", *part.schema.names])
 
 
-def _meet(nodes: DataFrame) -> DataFrame:
-    """(node, fp) with distinct wide fp -> rows of cells, those of one cell together: cell, node, fp, side, band.
+def _meet(nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(node, fp[, part]) with distinct wide fp -> rows of cells, those of one cell together: cell, node, fp, side, band[, part].
 
     A cell is a value of a band. At a Jaccard similarity of 0.8 two fingerprints
     agree on a band with probability 0.1, and on one of all bands with 0.999.
-    A crowded value is dealt into parts, each of which meets each.
+    A crowded value is dealt into parts, each of which meets each. ``only``
+    names the cells that are wanted, if not all are.
     """
-    keyed = nodes.select("fp", "node").mapInArrow(_banded, "block long, fp binary, node long")
+    extra = [c for c in nodes.columns if c == "part"]
+    keyed = nodes.select("fp", "node", *extra).mapInArrow(_banded, "block long, fp binary, node long" + ", part long" * len(extra))
     # At most BANDS * 2 ** BAND_BITS (a million) band values exist, whatever the corpus.
     crowded = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
     crowded = crowded.select("block", F.ceil(F.col("n") / (0.5 * GROUP)).cast("int").alias("parts"))
@@ -291,7 +348,9 @@ def _meet(nodes: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
     dealt = dealt.select("*", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("s2"))
     side = F.when(F.col("s") == F.col("s2"), 3).when(F.col("s") < F.col("s2"), 1).otherwise(2)
-    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "node", "fp", side.alias("side"), F.shiftright("block", BAND_BITS).cast("int").alias("band"))
+    cells = dealt.select(F.xxhash64("block", F.least("s", "s2"), F.greatest("s", "s2")).alias("cell"), "node", "fp", side.alias("side"), F.shiftright("block", BAND_BITS).cast("int").alias("band"), *extra)
+    if only is not None:
+        cells = cells.join(small(only), "cell", "left_semi")
     return cells.repartition("cell").sortWithinPartitions("cell")
 
 
@@ -321,24 +380,45 @@ def _verified(alike: float):
     return run
 
 
-def _alike(nodes: DataFrame, texts: DataFrame, width: int, alike: float) -> DataFrame:
-    """(node, fp) with distinct wide fp, (node, text) -> links (a, b) of a Jaccard similarity of ``alike`` or more.
-
-    Pairs within the sure radius link; of the others, all that lie between
-    different parts of the sure links are checked on their shingle sets.
-    """
-    sure, doubtful = radii_of(alike)
-    near = cut(_meet(nodes).mapInArrow(_doubtful(sure, doubtful), "a long, b long, firm boolean"))
-    firm = near.where("firm").select("a", "b").distinct()
-    parts = cut(components(firm))
-    pairs = near.where("NOT firm").select("a", "b")
+def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that lie between different parts (node, component)."""
+    columns = pairs.columns
     for end in ("a", "b"):
         pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end, "left")
-    pairs = cut(pairs.where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b"))
+    return pairs.where("coalesce(part_a, a) <> coalesce(part_b, b)").select(*columns)
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, width: int, alike: float) -> DataFrame:
+    """Of pairs (a, b) those whose shingle sets have a similarity of ``alike`` or more."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(texts.join(wanted, "node", "left_semi").mapInArrow(_sets(width), "node long, set binary"))
     held = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return firm.union(held.select("a", "b", "x", "y").mapInArrow(_verified(alike), "a long, b long"))
+    return held.select("a", "b", "x", "y").mapInArrow(_verified(alike), "a long, b long")
+
+
+def _alike(nodes: DataFrame, texts: DataFrame, width: int, alike: float) -> DataFrame:
+    """(node, fp) with distinct wide fp, (node, text) -> links (a, b) that connect what all links of a Jaccard similarity of ``alike`` or more do.
+
+    Pairs within the sure radius link. Of the others each cell first gives a
+    spanning forest, which is checked on the shingle sets. Two alike texts
+    that this leaves in different parts are joined by a path of their cell's
+    forest, one of whose links was refuted and lies between parts. So in the
+    cells of such links, and only there, all pairs between parts are checked.
+    """
+    sure, doubtful = radii_of(alike)
+    found = "a long, b long, firm boolean, cell long"
+    near = cut(_meet(nodes).mapInArrow(_doubtful(sure, doubtful), found))
+    parts = cut(components(near.where("firm").select("a", "b").distinct()))
+    pairs = cut(_between(near.where("NOT firm").select("a", "b", "cell"), parts))
+    star = parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    parts = cut(components(star.union(_checked(pairs.select("a", "b"), texts, width, alike))))
+    star = parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    refuted = cut(_between(pairs, parts).select("cell").distinct())
+    if not refuted.head(1):
+        return star
+    named = nodes.join(parts, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("part"))
+    rest = cut(_meet(named, refuted).mapInArrow(_doubtful(sure, doubtful, True), found).select("a", "b"))
+    return star.union(_checked(rest, texts, width, alike))
 
 
 def _grouped(marks: DataFrame, link) -> DataFrame:
