@@ -28,6 +28,8 @@ TILE, GROUP = 256, 4096
 WIDE, BANDS, BAND_BITS = 8, 64, 14
 #: Doubtful pairs of a cell that are held before they are cut down to a spanning forest.
 FOREST = 1 << 18
+#: Bytes of shingle sets that are broadcast to the pairs at most; more are joined.
+SETS = 16 << 20
 #: Standard deviations within which a wide fingerprint's estimate is held against the shingle sets themselves.
 STRAY = 3
 
@@ -390,8 +392,11 @@ def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _checked(pairs: DataFrame, texts: DataFrame, width: int, alike: float) -> DataFrame:
     """Of pairs (a, b) those whose shingle sets have a similarity of ``alike`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # As many numbers as may be broadcast spare the texts a shuffle.
+    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = cut(texts.join(wanted, "node", "left_semi").mapInArrow(_sets(width), "node long, set binary"))
+    if (sets.agg(F.sum(F.length("set"))).head()[0] or 0) <= SETS:
+        sets = F.broadcast(sets)
     held = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return held.select("a", "b", "x", "y").mapInArrow(_verified(alike), "a long, b long")
 
