@@ -331,6 +331,34 @@ def test_passages_whose_seeds_have_other_holders(spark):
     assert want <= {(r.doc_id, r.start, r.end, r.ref_doc_id, r.ref_start, r.equal) for r in got}
 
 
+def test_fuzzy_passages_whose_seeds_have_other_holders(spark):
+    """Two alike passages, of which several earlier documents hold a piece with a seed each; an edit or a lost word between the pieces."""
+    rng = np.random.default_rng(31)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    docs, want = [], set()
+    for k in range(0, 160, 8):
+        shared = fresh(125)
+        other = [w if i % 25 != 24 else f"e{w}" for i, w in enumerate(shared) if k % 16 or i != 49]
+        pieces = [shared[i : i + 24] for i in range(0, 125, 25)]
+        texts = [*pieces, shared, other]
+        docs += [(k + i, " ".join(fresh(80) + t + fresh(80))) for i, t in enumerate(texts)]
+        want.add((k + 6, k + 5))
+    got = substring.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in got} == want
+    assert {(r.doc_id, r.ref_doc_id) for r in got if r.start == 80 and r.end >= 203 and r.similarity > 0.9} == want
+
+
+def test_told_pairs_connect_all_alike():
+    """Of many holders of a seed those alike are connected by a forest; the others are not told."""
+    rng = np.random.default_rng(32)
+    base = rng.integers(1, 1 << 16, (3, 8 + 2 * substring.AROUND)).astype(np.uint16)
+    near = base[np.arange(60) % 3].copy()
+    near[np.arange(60), rng.integers(0, 40, 60)] = 7
+    near[:, substring.AROUND : substring.AROUND + 8] = base[0, substring.AROUND : substring.AROUND + 8]
+    got = substring._told(near, np.arange(60), 8, 50, 0.8)
+    assert len(got) == 57 and all(a > b and a % 3 == b % 3 for a, b in got)
+
+
 def test_word_hashes(monkeypatch):
     """Equal words have equal hashes wherever they stand, others differ, in texts of several blocks too."""
     rng = np.random.default_rng(5)
