@@ -38,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids (little-endian unsigned 32-bit integers)."""
-    rows = bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    rows = bpe.encode(docs.select("doc_id", "lang", "source", "text"), keep=False)
     return rows.select("doc_id", "lang", "source", F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids")
 
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import free, table
 
 #: Fixed value: how byte-level tokenizers of this family cut a text before merging.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,6 +60,7 @@ class BpeModel:
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = at, x, y
             self.joined.setdefault((x, y), made)
+        del data
         self.fits: dict[tuple[int, int], bool] = {}
         self.ends = ahocorasick.Automaton()
         for i in vocab.values():
@@ -162,36 +163,56 @@ def _mapped(docs: DataFrame, path: str | None, schema: str, work) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+def _sent(rows: DataFrame, column: str, made: str, kind: str, keep: bool) -> tuple[DataFrame, int, list[int], str]:
+    """What goes to the workers, each column once: the rows, the place of ``column``, the places that come back, the schema with ``made`` behind.
+
+    A column that is already called ``made`` stays only as input.
+    """
+    fields = rows.schema.fields
+    at = next((i for i, f in enumerate(fields) if f.name == column), -1)
+    if at < 0 or fields[at].dataType.simpleString() != kind:
+        # Another type or a path into a struct: a column of its own.
+        name = free(rows, "__in")
+        rows = rows.withColumn(name, F.col(column).cast(kind))
+        fields, at = rows.schema.fields, len(fields)
+        back = [i for i in range(at) if keep or fields[i].name != column]
+    else:
+        back = [i for i, f in enumerate(fields) if keep or i != at]
+    back = [i for i in back if fields[i].name.lower() != made]
+    used = sorted({at, *back})
+    rows = rows.select(*[rows[f"`{fields[i].name.replace('`', '``')}`"] for i in used])
+    return rows, used.index(at), [used.index(i) for i in back], ", ".join(f"`{fields[i].name.replace('`', '``')}` {fields[i].dataType.simpleString()}" for i in back)
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep: bool = True) -> DataFrame:
     """All columns of ``docs``, and ids (little-endian unsigned 32-bit integers as binary; null text: none).
 
-    A column that is already called ids is replaced.
+    A column that is already called ids is replaced. Without ``keep`` the text
+    does not come back: it need not go through the workers twice.
     """
-    rows = docs.drop("ids").withColumn("ids", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows, at, back, schema = _sent(docs, text, "ids", "string", keep)
 
     def work(model: BpeModel, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = pa.array([model.encode(t) for t in batch.columns[-1].to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], batch.schema.names)
+        ids = pa.array([model.encode(t or "") for t in batch.columns[at].to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([*[batch.columns[i] for i in back], ids], [*[batch.schema.names[i] for i in back], "ids"])
 
     return _mapped(rows, path, f"{schema}, ids binary" if schema else "ids binary", work)
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """All columns of ``rows``, and decoded: the text of its ids (null ids: empty)."""
-    rows = rows.drop("decoded").withColumn("decoded", F.coalesce(F.col(ids), F.lit(b"")))
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows, at, back, schema = _sent(rows, ids, "decoded", "binary", True)
 
     def work(model: BpeModel, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pa.array([model.decode(x) for x in batch.columns[-1].to_pylist()], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], batch.schema.names)
+        texts = pa.array([model.decode(x or b"") for x in batch.columns[at].to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([*[batch.columns[i] for i in back], texts], [*[batch.schema.names[i] for i in back], "decoded"])
 
-    return _mapped(rows, path, f"{schema}, decoded string", work)
+    return _mapped(rows, path, f"{schema}, decoded string" if schema else "decoded string", work)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decode(encode(docs).select("doc_id", "ids"))
+    rows = decode(encode(docs, keep=False))
     return rows.select(
         "doc_id",
         F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
